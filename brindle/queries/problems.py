@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import hierarchy
-from brindle.sources.tables import table
+from brindle.operators import hierarchy, packed_values
+from brindle.sources.tables import spread, table
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of the packed fields of every record, with its position."""
+    results = spread(table(spark, sf_dir, "results").select("record_id", "keywords", "teaches"), "record_id")
+    return packed_values.unpack(results, "record_id", {"keywords": True, "teaches": False})
 
 
 def _event_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +33,7 @@ def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_descendants": p2_descendants}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_descendants": p2_descendants}
 
 _EVENTS = """e AS (SELECT run_id, id, min(parent_id) AS parent_id FROM event_log
   WHERE run_id IS NOT NULL AND id IS NOT NULL GROUP BY run_id, id),
