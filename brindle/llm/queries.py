@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import tokenization
+from brindle.llm import leakage, tokenization
 from brindle.sources.tables import spread, table
 
 
@@ -14,6 +14,16 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenization.encode_column(documents, "doc_id", "text", f"{tokenization.VOCABULARIES}/byte_bpe_50k.json")
 
 
-QUERIES = {"p7_ids": p7_ids}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with each test item that it leaks."""
+    return p8_stretches(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest stretch of each leaked item in each document."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_stretches": p8_stretches}
 
 SQL: dict = {}
