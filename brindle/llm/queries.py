@@ -3,11 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.llm import leakage, tokenization
+from brindle.llm import leakage, tokenization, truncation
 from brindle.sources.tables import spread, table
 
 
+PREVIEWS = ["prompt_preview", "response_preview", "chunk_preview"]
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "event_log").where(F.col("type") == "llm_call")
+
+
+def _cut_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = spread(_calls(spark, sf_dir).select("run_id", "id", "source", *PREVIEWS), "run_id", "id")
+    return truncation.cut_texts(calls, PREVIEWS, ["chunk_preview"])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every preview text of a model call that was cut off."""
+    return _cut_previews(spark, sf_dir).where("cut").select("run_id", "id", "field")
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source cuts each preview field."""
+    return (
+        _cut_previews(spark, sf_dir)
+        .groupBy("source", "field")
+        .agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut_texts"))
+        .withColumn("rate", F.round(F.col("cut_texts") / F.col("texts"), 4))
+    )
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
@@ -24,6 +52,6 @@ def p8_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_stretches": p8_stretches}
+QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p7_ids": p7_ids, "p8_found": p8_found, "p8_stretches": p8_stretches}
 
 SQL: dict = {}
