@@ -133,10 +133,10 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
-def limits(sized: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(source, field, m, size) of the limits: the greatest length under measure m, where two different events end."""
-    sizes = sized.select(F.struct(*keys).alias("event"), "source", "field", F.posexplode("sizes").alias("m", "size"))
-    counted = sizes.groupBy("source", "field", "m", "size").agg(F.min("event").alias("a"), F.max("event").alias("b"))
+def limits(sized: DataFrame) -> DataFrame:
+    """(source, field, m, size) of the limits: the greatest length under measure m, where two different texts end."""
+    sizes = sized.select("print", "source", "field", F.posexplode("sizes").alias("m", "size"))
+    counted = sizes.groupBy("source", "field", "m", "size").agg(F.min("print").alias("a"), F.max("print").alias("b"))
     top = counted.groupBy("source", "field", "m").agg(F.max_by(F.struct("size", "a", "b"), "size").alias("t"))
     return top.where("t.a <> t.b and t.size >= 64").select("source", "field", "m", F.col("t.size").alias("size"))
 
@@ -171,12 +171,12 @@ def cut_texts(events: DataFrame, fields: list[str], page_fields: list[str], keys
     verdicts = base.select(
         *keys, "source",
         F.explode(F.array(*[
-            F.struct(F.lit(f).alias("field"), judged(f).alias("j"), F.array(*measures(F.col(f)).values()).alias("sizes"), F.col(f).isNotNull().alias("given"))
+            F.struct(F.lit(f).alias("field"), judged(f).alias("j"), F.array(*measures(F.col(f)).values()).alias("sizes"), F.xxhash64(f).alias("print"), F.col(f).isNotNull().alias("given"))
             for f in fields
         ])).alias("v"),
-    ).where("v.given").select(*keys, "source", "v.field", "v.j.verdict", "v.j.opening", "v.sizes")
+    ).where("v.given").select(*keys, "source", "v.field", "v.j.verdict", "v.j.opening", "v.sizes", "v.print")
     verdicts = Scratch(events.sparkSession, "cut").keep(verdicts)
-    bound = limits(verdicts, keys)
+    bound = limits(verdicts)
     undecided = verdicts.where(F.col("verdict") == OPEN)
     at = (
         undecided.select(*keys, "source", "field", F.posexplode("sizes").alias("m", "size"))
