@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import leakage, tokenization, truncation
+from brindle.llm import boilerplate, leakage, tokenization, truncation
 from brindle.sources.tables import spread, table
 
 
@@ -36,6 +36,34 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _host(url: str) -> Column:
+    return F.regexp_extract(url, r"^\w+://([^/:?#]+)", 1)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the main body in every fetched page and every page text given to a model."""
+    pages = spread(table(spark, sf_dir, "pages").where("ok").select("page_id", "url", "html"), "page_id")
+    from_pages = pages.select(
+        F.lit("pages").alias("origin"),
+        F.col("page_id").cast("string").alias("record_key"),
+        boilerplate.body_line_numbers(F.col("html"), _host("url")).alias("lines"),
+    )
+    calls = spread(_calls(spark, sf_dir).where("chunk_preview <> ''").select("run_id", "id", "source", "chunk_preview"), "run_id", "id")
+    from_calls = (
+        calls.select("run_id", "id", boilerplate.body_line_numbers(F.col("chunk_preview"), F.col("source")).alias("lines"))
+        .groupBy("run_id", "id")
+        .agg(F.max("lines").alias("lines"))
+        .select(F.lit("event_log").alias("origin"), F.concat_ws("/", "run_id", F.col("id").cast("string")).alias("record_key"), "lines")
+    )
+    return from_pages.unionByName(from_calls).select("origin", "record_key", F.explode("lines").alias("line_no"))
+
+
+def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered main body of every fetched page."""
+    pages = spread(table(spark, sf_dir, "pages").where("ok").select("page_id", "url", "html"), "page_id")
+    return pages.select("page_id", boilerplate.body_text(F.col("html"), _host("url")).alias("body"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
@@ -52,6 +80,6 @@ def p8_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p7_ids": p7_ids, "p8_found": p8_found, "p8_stretches": p8_stretches}
+QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_texts": p5_texts, "p7_ids": p7_ids, "p8_found": p8_found, "p8_stretches": p8_stretches}
 
 SQL: dict = {}

@@ -60,7 +60,7 @@ def ending(text: str | None, page: bool = False, host: str | None = None) -> tup
     end is a cut address. Null, blank and one-word texts are whole.
     """
     t = (text or "").rstrip()
-    if len(t.split(None, 1)) < 2 and not _URL.search(t):
+    if len(t.split(None, 1)) < 2 and not (t and t[0] in "{[`") and not _URL.search(t):
         return (CUT, "") if len(t) > 1 and SIGN.search(t) and t.strip(".…") else (WHOLE, "")
     if AND_SO_ON.search(t):
         return WHOLE, ""
