@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import hierarchy, packed_values
+from brindle.operators import hierarchy, packed_values, schema_drift
 from brindle.sources.tables import spread, table
 
 
@@ -33,7 +33,25 @@ def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_descendants": p2_descendants}
+#: Fields of a summary that are single fields, whatever their keys.
+WHOLE = ("crawled_page_hashes", "items_by_url")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of an export file's schema against the file before."""
+    cache = spread(table(spark, sf_dir, "metadata_cache").select("id", "url", "structural_summary", "origin", "file_seq"), "id")
+    return schema_drift.changes(cache, whole=WHOLE).withColumnRenamed("seq", "file_seq")
+
+
+def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All summaries of all files under one set of field names and types."""
+    cache = spread(table(spark, sf_dir, "metadata_cache").select("id", "url", "structural_summary", "origin", "file_seq"), "id")
+    found = schema_drift.changes(cache, whole=WHOLE)
+    one = schema_drift.consistent_table(cache, found, "structural_summary", "origin", "file_seq", "url", "id", WHOLE)
+    return one.select(F.col("order").alias("id"), "origin", F.col("seq").alias("file_seq"), F.col("key").alias("url"), "field", "type", "value")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_descendants": p2_descendants, "p4_found": p4_found, "p4_table": p4_table}
 
 _EVENTS = """e AS (SELECT run_id, id, min(parent_id) AS parent_id FROM event_log
   WHERE run_id IS NOT NULL AND id IS NOT NULL GROUP BY run_id, id),
