@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import boilerplate, leakage, tokenization, truncation
+from brindle.llm import boilerplate, leakage, pairs, tokenization, truncation
 from brindle.sources.tables import spread, table
 
 
@@ -64,6 +64,18 @@ def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", boilerplate.body_text(F.col("html"), _host("url")).alias("body"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every broken pair of prompt and response with the kind of its defect."""
+    calls = spread(_calls(spark, sf_dir).select("run_id", "id", "source", "prompt_preview", "response_preview"), "run_id", "id")
+    return pairs.defects(calls)
+
+
+def p6_by_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs of each task and model have each defect."""
+    calls = _calls(spark, sf_dir).select("run_id", "id", "task", "model").dropDuplicates(["run_id", "id"])
+    return p6_found(spark, sf_dir).join(calls, ["run_id", "id"]).groupBy("task", "model", "defect").agg(F.count("*").alias("pairs"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
@@ -80,6 +92,6 @@ def p8_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_texts": p5_texts, "p7_ids": p7_ids, "p8_found": p8_found, "p8_stretches": p8_stretches}
+QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_texts": p5_texts, "p6_found": p6_found, "p6_by_task": p6_by_task, "p7_ids": p7_ids, "p8_found": p8_found, "p8_stretches": p8_stretches}
 
 SQL: dict = {}

@@ -183,19 +183,28 @@ def cut_texts(events: DataFrame, fields: list[str], page_fields: list[str], keys
         .join(bound, ["source", "field", "m", "size"], "left_semi")
         .select(*keys, "field")
     )
-    page_texts = [F.col(f) for f in page_fields]
-    opened = undecided.where("opening <> ''").select(*keys, "field", "opening")
-    spoken = base.select(F.explode(F.concat(*[F.coalesce(openings(c, True), F.array()) for c in page_texts])).alias("opening")).groupBy("opening").agg(F.count("*").alias("ended"))
-    bare = base.select(F.explode(F.concat(*[F.coalesce(openings(c, False), F.array()) for c in page_texts])).alias("opening")).groupBy("opening").agg(F.count("*").alias("unended"))
-    sentences = (
-        opened.join(spoken, "opening")
-        .join(bare, "opening", "left")
-        .where("ended >= 5 and ended >= 20 * coalesce(unended, 0)")
-        .select(*keys, "field")
-    )
-    more = at.unionByName(sentences).distinct().withColumn("more", F.lit(True))
+    if page_fields:
+        at = at.unionByName(_broken_sentences(undecided, base, keys, [F.col(f) for f in page_fields]))
+    more = at.distinct().withColumn("more", F.lit(True))
     return (
         verdicts.join(more, [*keys, "field"], "left")
         .groupBy(*keys, "field")
         .agg(F.min("source").alias("source"), F.max((F.col("verdict") == CUT) | F.coalesce("more", F.lit(False))).alias("cut"))
     )
+
+
+def _broken_sentences(undecided: DataFrame, base: DataFrame, keys: tuple[str, ...], pages: list[Column]) -> DataFrame:
+    """(keys, field) of the undecided texts whose last line opens as whole sentences of the page texts do, and bare lines don't."""
+
+    def counted(whole: bool, name: str) -> DataFrame:
+        found = F.concat(*[F.coalesce(openings(c, whole), F.array()) for c in pages])
+        return base.select(F.explode(found).alias("opening")).groupBy("opening").agg(F.count("*").alias(name))
+
+    return (
+        undecided.where("opening <> ''")
+        .select(*keys, "field", "opening")
+        .join(counted(True, "ended"), "opening")
+        .join(counted(False, "unended"), "opening", "left")
+        .where("ended >= 5 and ended >= 20 * coalesce(unended, 0)")
+        .select(*keys, "field")
+    )
