@@ -15,6 +15,7 @@ from __future__ import annotations
 import html as entities
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,38 +37,51 @@ SIDEBAR = {
     "temas", "nuestro blog", "próximos eventos", "populares", "materiales relacionados",
 }
 
-#: What notices, calls to act, share bars and footers say.
-NOTICE = re.compile(
-    r"\bcookies?\b|small files on your device|your privacy matters"
-    r"|kleine Dateien auf Ihrem Gerät|petits fichiers sur votre appareil|pequeños archivos en su dispositivo"
-    r"|^(?:accept|reject|refuse) all$|^(?:only necessary|settings|refuse|manage choices)$"
-    r"|^alle akzeptieren$|^nur notwendige$|^einstellungen$|^ablehnen$"
-    r"|^tout accepter$|^refuser$|^réglages$|^aceptar todo$|^solo necesarias$|^ajustes$|^rechazar$"
-    r"|^©|\ball rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados"
-    r"|^skip to content|^back to top|^zum inhalt springen|^nach oben$|^aller au contenu|^haut de page|^ir al contenido|^volver arriba"
-    r"|^imprint \||^impressum \||^mentions légales|^aviso legal"
-    r"|^found a mistake on this page|^fehler auf dieser seite|^une erreur sur cette page|^¿?ha encontrado un error"
-    r"|^funded in part by|^gefördert durch das|^soutenu par le programme|^financiado por el programa"
-    r"|^was this helpful|^war das hilfreich|^cette page vous a aidé|^¿le ha sido útil"
-    r"|^share this page|^seite teilen|^partager\s?:|^compartir\s?:"
-    r"|^subscribe to the|^abonnieren sie|^abonnez-vous|^suscríbase"
-    r"|^you are not logged in|^sie sind nicht angemeldet|^vous n.êtes pas connecté|^no ha iniciado sesión"
-    r"|^(?:advertisement|anzeige|werbung|publicité|publicidad|anuncio)$"
-    r"|^also of interest|^auch interessant|^à voir aussi|^también de interés"
-    r"|^powered by \S+"
-    # What is left of such lines where a text begins or ends within them.
-    r"|^we use coo|^wir setzen coo|^nous utilisons des coo|^usamos coo|^this site needs a few"
-    r"|refuse them at any time\.$|continuing to browse you accept this\.$|purposes you allow below\.$|switched off by default\.$"
-    r"|(?:^| )web team\.$|regional programme, grant [\d-]+|never miss a course\.$|bookmark this item\.$|summer week in \S+, with"
-    r"|sie können dies ablehnen\.$|stimmen sie dem zu\.$|verpassen sie keinen kurs\.$|kennzeichen [\d-]+\.$"
-    r"|vous pouvez les refuser\.$|vous l.acceptez\.$|ne manquer aucun cours\.$|convention [\d-]+\.$"
-    r"|puede rechazarlas en cualquier momento\.$|usted lo acepta\.$|no se pierda ningún curso\.$|ayuda [\d-]+\.$|\(\d+ votes\)$",
-    re.IGNORECASE,
+#: How notices, calls to act, share bars and footers begin, in lower case.
+NOTICE_START = re.compile(
+    r"(?:accept|reject|refuse) all$|(?:only necessary|settings|refuse|manage choices)$|alle akzeptieren$|nur notwendige$|einstellungen$|ablehnen$"
+    r"|tout accepter$|refuser$|réglages$|aceptar todo$|solo necesarias$|ajustes$|rechazar$"
+    r"|©|skip to content|back to top|zum inhalt springen|nach oben$|aller au contenu|haut de page|ir al contenido|volver arriba"
+    r"|imprint \||impressum \||mentions légales|aviso legal"
+    r"|found a mistake on this page|fehler auf dieser seite|une erreur sur cette page|¿?ha encontrado un error"
+    r"|funded in part by|gefördert durch das|soutenu par le programme|financiado por el programa"
+    r"|was this helpful|war das hilfreich|cette page vous a aidé|¿le ha sido útil"
+    r"|share this page|seite teilen|partager\s?:|compartir\s?:"
+    r"|subscribe to the|abonnieren sie|abonnez-vous|suscríbase"
+    r"|you are not logged in|sie sind nicht angemeldet|vous n.êtes pas connecté|no ha iniciado sesión"
+    r"|(?:advertisement|anzeige|werbung|publicité|publicidad|anuncio)$"
+    r"|also of interest|auch interessant|à voir aussi|también de interés|powered by \S"
+    r"|we use coo|wir setzen coo|nous utilisons des coo|usamos coo|this site needs a few"
 )
+#: Phrases that only such lines hold, wherever the text begins or ends.
+NOTICE_PHRASES = (
+    "cookie", "small files on your device", "your privacy matters", "kleine dateien auf ihrem gerät", "petits fichiers sur votre appareil", "pequeños archivos en su dispositivo",
+    "all rights reserved", "alle rechte vorbehalten", "tous droits réservés", "todos los derechos reservados",
+    "refuse them at any time", "continuing to browse you accept", "purposes you allow below", "switched off by default", "regional programme, grant", "never miss a course", "bookmark this item",
+    "sie können dies ablehnen", "stimmen sie dem zu", "verpassen sie keinen kurs", "vous pouvez les refuser", "ne manquer aucun cours",
+    "puede rechazarlas en cualquier momento", "usted lo acepta", "no se pierda ningún curso",
+)
+NOTICE_END = re.compile(r"(?:(?:^| )web team|vous l.acceptez|(?:kennzeichen|convention|ayuda) [\d-]+)\.$|\(\d+ votes\)$|summer week in \S+, with")
+
+
+@lru_cache(maxsize=20_000)
+def is_notice(low: str) -> bool:
+    """Whether a lower-case line is a notice, a call to act, a share bar or a footer."""
+    return bool(NOTICE_START.match(low)) or any(p in low for p in NOTICE_PHRASES) or bool(NOTICE_END.search(low[-80:]))
+
+
 _CRUMBS = re.compile(r"^\S.{0,60}? (?:›|»|>|→) \S")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\w[^>]*>|</?([a-zA-Z][\w-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([\w-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\S+)))?")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+_HEADING = re.compile(r"(#{1,6})\s+")
+_BOLD = re.compile(r"\*\*[^*]+\*\*$")
+_ITEM = re.compile(r"(?:[-*+•]|\d+[.)])\s+")
+_BEGUN_LINK = re.compile(r"(.*?)\[([^\[\]]+)\]?(?:\((\S*))?$")
+_ENDED_LINK = re.compile(r"([^()\[\]]*)\]?\((https?:\S*)\)$")
+_RIGHTS = re.compile(r"©\s*\d*\s*(.+?)\.(?:\s|$)")
+_SPACES = re.compile(r"\s+")
+_SENTENCE_END = re.compile(r"[.?!](?=\s|$)")
 _LINK = re.compile(r"\[([^\[\]]*)\]\(([^()\s]*)\)")
 
 
@@ -112,7 +126,7 @@ def render(page: str) -> list[Line]:
                 if row and line.text and line.kind == "row":
                     line.text = line.text.rstrip() + " | "
                     row = 0
-                line.text += re.sub(r"\s+", " ", text)
+                line.text += _SPACES.sub(" ", text)
                 if kind != "text" and line.kind == "text":
                     line.kind = kind
                 if href is not None:
@@ -130,7 +144,7 @@ def render(page: str) -> list[Line]:
                 continue
             if name in HIDDEN:
                 continue
-        attributes = {} if closing else {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(m.group(2) or "")}
+        attributes = {} if closing or not m.group(2) else {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(m.group(2) or "")}
         if not closing and (name in HIDDEN or "hidden" in attributes or _UNSEEN.search(attributes.get("style", ""))):
             if name not in {"img", "input", "br", "hr", "meta", "link"}:
                 hidden.append(name)
@@ -138,7 +152,7 @@ def render(page: str) -> list[Line]:
         if name == "a":
             if closing or href is not None:
                 if href is not None and start in lines and link.strip():
-                    lines[start].links.append((re.sub(r"\s+", " ", link).strip(), href))
+                    lines[start].links.append((_SPACES.sub(" ", link).strip(), href))
                 href, link = None, ""
             if not closing:
                 href, link = attributes.get("href", ""), ""
@@ -182,22 +196,24 @@ def read_markdown(text: str) -> list[Line]:
         if not t:
             continue
         kind = "text"
-        if m := re.match(r"(#{1,6})\s+", t):
+        if t[0] == "#" and (m := _HEADING.match(t)):
             kind, t = f"h{len(m.group(1))}", t[m.end() :]
-        elif re.match(r"\*\*[^*]+\*\*$", t):
+        elif t[0] == "*" and _BOLD.match(t):
             kind, t = "h2", t[2:-2]
-        elif m := re.match(r"(?:[-*+•]|\d+[.)])\s+", t):
+        elif m := _ITEM.match(t):
             kind, t = "li", t[m.end() :]
         elif t.startswith("|"):
             kind = "row"
         elif raw.startswith("    ") or t.startswith("```"):
             kind = "code"
-        links = _LINK.findall(t)
-        t = _LINK.sub(r"\1", t)
-        if half := re.match(r"(.*?)\[([^\[\]]+)\]?(?:\((\S*))?$", t):
-            links, t = [*links, (half.group(2), half.group(3) or "")], half.group(1) + half.group(2)
-        elif (half := re.match(r"([^()\[\]]*)\]?\((https?:\S*)\)$", t)) and not out:
-            links, t = [(half.group(1), half.group(2))], half.group(1)
+        links = []
+        if "[" in t or "](" in t:
+            links = _LINK.findall(t)
+            t = _LINK.sub(r"\1", t)
+            if half := _BEGUN_LINK.match(t):
+                links, t = [*links, (half.group(2), half.group(3) or "")], half.group(1) + half.group(2)
+            elif not out and (half := _ENDED_LINK.match(t)):
+                links, t = [(half.group(1), half.group(2))], half.group(1)
         out.append(Line(no, t.strip(), kind, 0, False, links))
     return out
 
@@ -216,7 +232,7 @@ def site_name(page: str) -> str:
 
 
 def _sentences(text: str) -> int:
-    return len(re.findall(r"[.?!](?=\s|$)", text))
+    return len(_SENTENCE_END.findall(text))
 
 
 def body_lines(lines: list[Line], site: str = "", host: str = "", longest: int = 5) -> list[Line]:
@@ -237,10 +253,10 @@ def body_lines(lines: list[Line], site: str = "", host: str = "", longest: int =
         opener.setdefault(line.block, line)
     sites = {site.casefold()} if site else set()
     for line in lines:
-        if m := re.match(r"©\s*\d*\s*(.+?)\.(?:\s|$)", line.text):
+        if line.text[0] == "©" and (m := _RIGHTS.match(line.text)):
             sites.add(m.group(1).casefold())
     for line in lines:
-        plain, low = line.text, line.text.casefold().rstrip(":")
+        plain, low = line.text, line.text.lower().rstrip(":")
         if in_sidebar and (line.block != block or line.kind in {"h1", "h2", "h3"}):
             in_sidebar = False
         heading = line.kind[0] == "h" or line.kind == "text" and opener[line.block] is line
@@ -250,13 +266,13 @@ def body_lines(lines: list[Line], site: str = "", host: str = "", longest: int =
             continue
         words = low.split()
         named = line.kind == "text" and len(words) <= 4 and words[0] in labels and not line.links and plain[-1] not in ".?!"
-        if line.aside or NOTICE.search(plain) or low in sites or named or line.kind == "button":
+        if line.aside or is_notice(low) or low in sites or named or line.kind == "button":
             continue
         if _CRUMBS.match(plain) and line.kind != "code":
             continue
         if line.link_only and all(_depth(h) <= 1 for _, h in line.links):
             continue
-        if any(low.startswith(s + " ·") for s in sites) or re.search(r" · .{1,40} \S+-?\d* · \S+$", plain) and not line.links:
+        if any(low.startswith(s + " ·") for s in sites) or " · " in plain and not line.links and re.search(r" · .{1,40} \S+-?\d* · \S+$", plain):
             continue
         if in_sidebar:
             if left > 0 and (line.link_only or line.kind in {"text", "li"} and _sentences(plain) <= 1 and not (line.kind == "li" and not line.links)):
