@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import boilerplate, leakage, pairs, tokenization, truncation
+from brindle.llm import boilerplate, leakage, pairs, subjects, tokenization, truncation
 from brindle.sources.tables import spread, table
 
 
@@ -92,6 +92,19 @@ def p8_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_texts": p5_texts, "p6_found": p6_found, "p6_by_task": p6_by_task, "p7_ids": p7_ids, "p8_found": p8_found, "p8_stretches": p8_stretches}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every subject area that each document treats."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return subjects.subject_areas(documents, table(spark, sf_dir, "subject_areas"), table(spark, sf_dir, "subject_labels"))
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of documents and of characters of each subject."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    treated = p9_found(spark, sf_dir).join(documents, "doc_id")
+    return treated.groupBy("subject").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_texts": p5_texts, "p6_found": p6_found, "p6_by_task": p6_by_task, "p7_ids": p7_ids, "p8_found": p8_found, "p8_stretches": p8_stretches, "p9_found": p9_found, "p9_composition": p9_composition}
 
 SQL: dict = {}
