@@ -32,7 +32,7 @@ DECLINES = re.compile(
     r"|\bno (?:puedo|estoy autorizad[oa]|debo|me es posible)\b|\b(?:debo|tengo que) (?:negarme|rechazar|declinar)\b|\blo siento\b",
     re.IGNORECASE,
 )
-WEAK = re.compile(r"\b(?:sorry|unable|declin\w+|refus\w+|not (?:permitted|allowed|appropriate)|comply|policy|ablehn\w+|verweiger\w+|leider|désolée?|regrett\w+|refus\w+|autoris\w+|negar\w+|rechaz\w+|autorizad\w+|lamento)\b", re.IGNORECASE)
+WEAK = re.compile(r"\b(?:sorry|unable to|not (?:able|permitted|allowed|appropriate)|comply|unfortunately|leider|ablehnen|verweigern|désolée?|malheureusement|lamentablemente|lo siento)\b", re.IGNORECASE)
 
 #: Frequent small words that tell four languages apart.
 SMALL_WORDS = {
