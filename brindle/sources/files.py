@@ -31,7 +31,7 @@ def run_folders(spark: SparkSession, base: str) -> DataFrame:
 def report_figures(runs: DataFrame) -> DataFrame:
     """(run, items, has_error): the number of items and whether a report names an error; a line that says none is no error."""
     lines = F.split("report", "\n")
-    items = F.element_at(F.filter(lines, lambda x: x.rlike(r"^\s*Items\s*:")), 1)
+    items = F.try_element_at(F.filter(lines, lambda x: x.rlike(r"^\s*Items\s*:")), F.lit(1))
     errors = F.filter(lines, lambda x: x.rlike(r"^\s*Error\s*:") & ~F.lower(x).contains("none"))
     return runs.select("run", F.regexp_extract(items, r":\s*(\d+)", 1).try_cast("int").alias("items"), (F.size(errors) > 0).alias("has_error"))
 
