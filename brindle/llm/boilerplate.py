@@ -240,7 +240,8 @@ def body_lines(lines: list[Line], site: str = "", host: str = "", longest: int =
 
     What stands before the first main heading, where there is one, is the head of
     the page. A sidebar is what follows its heading: up to `longest` lines that are
-    a link or a single sentence, or all of a block that the heading opens. The
+    a link or a single sentence (the last one only a link), or all of a block that
+    the heading opens. The
     site's name is given or told by the © line or by the host's own label.
     """
     out: list[Line] = []
@@ -275,7 +276,7 @@ def body_lines(lines: list[Line], site: str = "", host: str = "", longest: int =
         if any(low.startswith(s + " ·") for s in sites) or " · " in plain and not line.links and re.search(r" · .{1,40} \S+-?\d* · \S+$", plain):
             continue
         if in_sidebar:
-            if left > 0 and (line.link_only or line.kind in {"text", "li"} and _sentences(plain) <= 1 and not (line.kind == "li" and not line.links)):
+            if left > 0 and (line.link_only or left > 1 and line.kind in {"text", "li"} and _sentences(plain) <= 1 and not (line.kind == "li" and not line.links)):
                 left -= 1
                 continue
             in_sidebar = left > 10**6
