@@ -42,6 +42,7 @@ SMALL_WORDS = {
     "es": "el la los las y es son para con que una un sobre del se por en de al lo su sus más no como sin desde cuando hay pero o esta este cada ya porque antes después entre al cómo qué depende",
 }
 _LANGUAGE_OF = {w: [c for c, ws in SMALL_WORDS.items() if w in ws.split()] for ws in SMALL_WORDS.values() for w in ws.split()}
+_WEIGHTS = {w: tuple(1 / len(of) if c in of else 0.0 for c in SMALL_WORDS) for w, of in _LANGUAGE_OF.items()}
 #: Names of the languages, as they are asked for.
 ASKED = {
     "en": r"english|englisch\w*|anglais|inglés",
@@ -49,14 +50,18 @@ ASKED = {
     "fr": r"french|französisch\w*|français|francés",
     "es": r"spanish|spanisch\w*|espagnol|español",
 }
-_ASKS = {c: re.compile(rf"\b(?:in|auf|en|into|ins|al|au)\s+(?:{names})\b", re.IGNORECASE) for c, names in ASKED.items()}
+_ASKS = re.compile(r"\b(?:in|auf|en|into|ins|al|au)\s+(?:" + "|".join(f"(?P<{c}>{names})" for c, names in ASKED.items()) + r")\b")
 _FENCE = re.compile(r"\A\s*```[\w-]*\s*|\s*```\s*\Z")
 _STRING = re.compile(r'"((?:[^"\\]|\\.)*)(?:"|\Z)', re.DOTALL)
+_FIRST = re.compile(r"(?<=[.!?])\s")
+_LIST_MARK = re.compile(r"^\s*(?:[-*•]\s+|>+\s*|#+\s+|\d+[.)]\s+)")
 _WORD = re.compile(r"[^\W_]+")
 _ADDRESS = re.compile(r"\w+://\S+")
 
 
 def _decoded(s: str) -> str:
+    if "\\" not in s:
+        return s
     try:
         return json.loads(f'"{s}"', strict=False)
     except ValueError:
@@ -98,15 +103,15 @@ def statements(response: str) -> list[str]:
         found = [t[: start.start()]] + [_decoded(m) for m in _STRING.findall(t[start.start() :]) if " " in m]
     else:
         found = t.split("\n")
-    found = [re.sub(r"^\s*(?:[-*•]\s+|>+\s*|#+\s+|\d+[.)]\s+)", "", _ADDRESS.sub(" ", x)).strip() for x in found]
+    found = [_LIST_MARK.sub("", _ADDRESS.sub(" ", x) if "://" in x else x).strip() for x in found]
     return [x for x in found if x and not (x.startswith("**") and x.endswith("**"))]
 
 
-def opening_sentence(response: str) -> str:
-    """The first sentence of the first running text of three words or more; '' if there is none."""
-    for s in statements(response):
-        first = re.split(r"(?<=[.!?])\s", s, maxsplit=1)[0]
-        if len(first.split()) >= 3 and not s.endswith(":"):
+def opening_sentence(response: str, told: list[str] | None = None) -> str:
+    """The first sentence of the first running text of three words or more; '' if there is none. `told`: the response's statements, if known."""
+    for s in statements(response) if told is None else told:
+        first = _FIRST.split(s, maxsplit=1)[0]
+        if first.count(" ") >= 2 and not s.endswith(":"):
             return first
     return ""
 
@@ -119,35 +124,34 @@ def even(sentence: str) -> str:
 
 def language(texts: list[str]) -> str:
     """The language of running text by its small words; '' if it isn't plain."""
-    votes = dict.fromkeys(SMALL_WORDS, 0.0)
-    for t in texts:
-        for w in _WORD.findall(t.lower()):
-            for c in (of := _LANGUAGE_OF.get(w, ())):
-                votes[c] += 1 / len(of)
-    (best, n), (_, second) = sorted(votes.items(), key=lambda v: -v[1])[:2]
+    small = [_WEIGHTS[w] for w in _WORD.findall(" ".join(texts).lower()) if w in _WEIGHTS]
+    if not small:
+        return ""
+    (n, best), (second, _) = sorted(zip(map(sum, zip(*small)), SMALL_WORDS), reverse=True)[:2]
     return best if n >= 2 and n >= 1.25 * second else ""
 
 
 def asked_language(prompt: str) -> str:
     """The language that a prompt asks for, or else its own."""
-    asked = [c for c, p in _ASKS.items() if p.search(prompt)]
-    return asked[0] if len(asked) == 1 else language([_ADDRESS.sub(" ", prompt)])
+    asked = {m.lastgroup for m in _ASKS.finditer(prompt.lower())}
+    return asked.pop() if len(asked) == 1 else language([_ADDRESS.sub(" ", prompt)])
 
 
-def is_wrong_language(prompt: str | None, response: str | None) -> bool:
-    """Whether the response's descriptive sentences (five words or more) are in another language than asked for."""
+def is_wrong_language(prompt: str | None, response: str | None, told: list[str] | None = None) -> bool:
+    """Whether the response's descriptive sentences (five words or more) are in another language than asked for; `told`: its statements, if known."""
     if not prompt or not response:
         return False
-    told = [s for s in statements(response) if len(s.split()) >= 5 and not s.endswith(":")]
+    told = [s for s in (statements(response) if told is None else told) if s.count(" ") >= 4 and not s.endswith(":")]
     is_in = language(told)
     return bool(is_in) and (wanted := asked_language(prompt)) not in ("", is_in)
 
 
-def copied_share(prompt: str | None, response: str | None, run: int = 13) -> float:
+def copied_share(prompt: str | None, response: str | None, run: int = 13, least: float = 0.0) -> float:
     """The share of the response's words that lie in runs of `run` or more words of the prompt, in order, addresses left out.
 
     `run` is longer than a sentence that prompt and response may share by chance; a
-    response of fewer words counts as one run.
+    response of fewer words counts as one run. Where fewer of the response's words
+    than the share `least` occur in the prompt at all, the result is 0.
     """
     if not prompt or not response:
         return 0.0
@@ -155,6 +159,9 @@ def copied_share(prompt: str | None, response: str | None, run: int = 13) -> flo
     run = min(run, len(b))
     if run < 4 or len(a) < run:
         return 0.0
+    words = set(a)
+    if sum([w in words for w in b]) < least * len(b):
+        return 0.0
     known = {tuple(a[i : i + run]) for i in range(len(a) - run + 1)}
     covered, until = 0, 0
     for i in range(len(b) - run + 1):
@@ -177,8 +184,9 @@ _TRAITS = T.StructType(
 def traits_of(prompt: str | None, response: str | None) -> tuple:
     if is_empty(response):
         return True, "", False, False, False, False
-    first = opening_sentence(response)
-    return False, even(first), copied_share(prompt, response) >= 0.5, is_wrong_language(prompt, response), bool(DECLINES.search(first)), bool(WEAK.search(first))
+    told = statements(response)
+    first = opening_sentence(response, told)
+    return False, even(first), copied_share(prompt, response, least=0.5) >= 0.5, is_wrong_language(prompt, response, told), bool(DECLINES.search(first)), bool(WEAK.search(first))
 
 
 def refusal_openings(traits: DataFrame, recurring: int = 3) -> DataFrame:
