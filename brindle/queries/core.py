@@ -265,6 +265,59 @@ def extracted_records(spark: SparkSession, d: str) -> DataFrame:
     return extraction.extract_records(spread(pages(spark, d).select("page_id", "url", "ok", "html"), "page_id")).withColumn("errors", F.array_join("errors", "; "))
 
 
+def site_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Each host's records: their number, a hash of their first 200 addresses in order, and the addresses' common beginning."""
+    items = table(spark, d, "results").select("record_id", F.coalesce(F.nullif("url", F.lit("")), F.nullif("id", F.lit(""))).alias("item")).where("item is not null")
+    placed = items.withColumn("host", urls.host(F.col("item")))
+    counted = placed.groupBy("host").agg(F.count("*").alias("item_count"))
+    first = placed.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("record_id"))).where("n <= 200")
+    listed = first.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("l"))
+    prefix = records.common_prefix(placed.withColumn("path", urls.path(F.col("item"))), "host", "path")
+    hashed = listed.select("host", text.content_hash(F.array_join(F.col("l.item"), "\n")).alias("urls_hash"))
+    return counted.join(hashed, "host").join(prefix, "host")
+
+
+def prompt_log(spark: SparkSession, d: str) -> DataFrame:
+    """Each run's prompts in order, joined and cut at 4000 characters; a run needs no more than its first 4000 prompts."""
+    calls = once(spark, d, "type", "prompt_preview").where("type = 'llm_call' and prompt_preview is not null")
+    first = calls.withColumn("n", F.row_number().over(Window.partitionBy("run_id").orderBy("id"))).where("n <= 4000")
+    joined = F.array_sort(F.collect_list(F.struct("n", "prompt_preview")))
+    return first.groupBy("run_id").agg(F.left(F.array_join(F.transform(joined, lambda p: p.prompt_preview), "\n"), F.lit(4000)).alias("prompts"))
+
+
+def fetch_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Fetches by host and by size as people read it."""
+    fetched = once(spark, d, "type", "url", "content_length").where("type = 'fetch' and content_length is not null")
+    n = F.col("content_length")
+    size = F.when(n >= 1024, F.concat(F.ceil(n / 1024).cast("string"), F.lit(" KB"))).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+    return fetched.groupBy(urls.host(F.col("url")).alias("host"), size.alias("size")).agg(F.count("*").alias("fetches"))
+
+
+def logged_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """How many events and records each session's JSON columns hold; -1 where they hold no array."""
+    s = table(spark, d, "sessions")
+    return s.select("id", F.coalesce(F.json_array_length("log"), F.lit(-1)).alias("events"), F.coalesce(F.json_array_length("result_json"), F.lit(-1)).alias("records"))
+
+
+def structure_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The first seven content pages of its own host that each host's first fetched page links to, in the order of their first link."""
+    seen = pages(spark, d).where("ok")
+    start = seen.groupBy(urls.host(F.col("url")).alias("host")).agg(F.min(F.struct("url", "page_id")).alias("m")).select("host", "m.page_id")
+    found = links.page_links(seen).join(start, "page_id")
+    own = found.where((urls.host(F.col("target")) == F.col("host")) & ~urls.is_non_content(F.col("target")))
+    ranked = own.select("host", F.col("target").alias("url"), F.lit(0).alias("priority"), F.col("pos").cast("long").alias("pos"))
+    return links.first_addresses(ranked, "host", 7).select("host", "url", F.col("rank").cast("long").alias("rank"))
+
+
+def record_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The newest fetch of each record's own address, else of its site's first page: what the record would be read from."""
+    newest = changes.fetches(pages(spark, d)).where("nth = 1 and ok")
+    own = newest.select("url", F.col("page_id").alias("own"))
+    site = newest.groupBy("host").agg(F.min_by("page_id", "url").alias("site"))
+    wanted = table(spark, d, "results").select("record_id", "url").withColumn("host", urls.host(F.col("url")))
+    return wanted.join(own, "url", "left").join(site, "host", "left").select("record_id", F.coalesce("own", "site", F.lit(-1).cast("long")).alias("page_id"))
+
+
 def users_by_identifier(spark: SparkSession, d: str) -> DataFrame:
     u = table(spark, d, "users")
     given = u.select("id", F.explode(F.array(F.col("id").cast("string"), F.col("token_hash"), F.concat(F.lit("tok-"), F.col("id").cast("string")))).alias("identifier"))
@@ -277,6 +330,7 @@ QUERIES = {f.__name__: f for f in (
     join_chunks_with_limit, event_summary, event_summary_by_task, progress_checkpoints, console_lines, json_tolerant_parse, latest_sessions,
     waiting_sessions, cache_upsert, session_export, orphan_sessions, record_dedup, record_validation, validation_report, record_conventions,
     record_normal_forms, best_records, reused_records, relevant_chunks, carried_context, extracted_records, users_by_identifier,
+    site_summaries, prompt_log, fetch_sizes, logged_sessions, structure_pages, record_pages,
 )}
 
 
@@ -380,4 +434,20 @@ SELECT run_id, count(*) AS chunks, count(CASE WHEN relevant THEN 1 END) AS relev
     "carried_context": f"""SELECT run_id, id, lag(nullif(regexp_extract(chunk_preview, '([A-Z][^.!?\\n]{{10,200}}[.!?])', 1), '')) OVER (PARTITION BY run_id ORDER BY id) AS context
 FROM ({ONCE_SQL}) WHERE type = 'llm_call' AND chunk_preview <> ''""",
     "users_by_identifier": "SELECT id, identifier, CASE WHEN regexp_matches(identifier, '^[0-9]+$') THEN 'id' WHEN regexp_matches(identifier, '^[0-9a-f]{64}$') THEN 'hash' ELSE 'token' END AS kind FROM (SELECT id, unnest([CAST(id AS VARCHAR), token_hash, 'tok-' || id]) AS identifier FROM users)",
+    "site_summaries": f"""WITH i AS (SELECT record_id, item, {_url_part('item', 2)} AS host, string_split({_path('item')}, '/') AS s
+  FROM (SELECT record_id, coalesce(nullif(url, ''), nullif(id, '')) AS item FROM results) WHERE item IS NOT NULL),
+n AS (SELECT host, k, count(DISTINCT s[1:k]) AS d, count(CASE WHEN len(s) >= k THEN 1 END) AS c, count(*) AS total, any_value(s) AS s FROM i, generate_series(1, 12) g(k) GROUP BY host, k),
+p AS (SELECT host, coalesce(max_by(array_to_string(s[1:k], '/'), k) FILTER (WHERE d = 1 AND c = total), '') AS prefix FROM n GROUP BY host),
+f AS (SELECT host, sha256(string_agg(item, chr(10) ORDER BY record_id)) AS urls_hash FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY record_id) AS r FROM i) WHERE r <= 200 GROUP BY host)
+SELECT host, item_count, urls_hash, prefix FROM (SELECT host, count(*) AS item_count FROM i GROUP BY host) JOIN f USING (host) JOIN p USING (host)""",
+    "prompt_log": f"SELECT run_id, left(string_agg(prompt_preview, chr(10) ORDER BY id), 4000) AS prompts FROM ({ONCE_SQL}) WHERE type = 'llm_call' AND prompt_preview IS NOT NULL GROUP BY 1",
+    "fetch_sizes": f"""SELECT {_url_part('url', 2)} AS host, CASE WHEN content_length >= 1024 THEN CAST(ceil(content_length / 1024) AS BIGINT) || ' KB' ELSE content_length || ' B' END AS size,
+  count(*) AS fetches FROM ({ONCE_SQL}) WHERE type = 'fetch' AND content_length IS NOT NULL GROUP BY 1, 2""",
+    "logged_sessions": """SELECT id, CAST(CASE WHEN json_valid(log) AND json_type(log) = 'ARRAY' THEN json_array_length(log) ELSE -1 END AS INTEGER) AS events,
+  CAST(CASE WHEN json_valid(result_json) AND json_type(result_json) = 'ARRAY' THEN json_array_length(result_json) ELSE -1 END AS INTEGER) AS records FROM sessions""",
+    "structure_pages": f"""WITH st AS (SELECT {_url_part('url', 2)} AS host, arg_min(page_id, (url, page_id)) AS page_id FROM pages WHERE ok GROUP BY 1),
+l AS (SELECT host, target AS url, min(pos) AS pos FROM ({LINKS_SQL}) JOIN st USING (page_id) WHERE {_url_part('target', 2)} = host AND NOT {_non_content('target')} GROUP BY 1, 2)
+SELECT host, url, rank FROM (SELECT host, url, row_number() OVER (PARTITION BY host ORDER BY pos, url) AS rank FROM l) WHERE rank <= 7""",
+    "record_pages": f"""WITH n AS (SELECT * FROM ({FETCHES_SQL}) WHERE nth = 1 AND ok), s AS (SELECT host, arg_min(page_id, url) AS site FROM n GROUP BY 1)
+SELECT r.record_id, coalesce(n.page_id, s.site, -1) AS page_id FROM results r LEFT JOIN n ON n.url = r.url LEFT JOIN s ON s.host = {_url_part('r.url', 2)}""",
 }
