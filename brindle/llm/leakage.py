@@ -3,8 +3,8 @@
 A positional inverted index of the corpus is built for the terms of the test items:
 one posting (term, document, position) for each occurrence. Every run of `run`
 words of an item is looked up by its rarest term, by the document frequencies that
-the index itself gives; the postings of its second rarest term, moved by the offset
-of the two in the item, are intersected with them. What is left is a place in a
+the index itself gives; the postings of its next rarest terms, moved by their offsets
+in the item, are intersected with them. What is left is a place in a
 document where an item may begin; the words around it are aligned with the item,
 and a stretch of at least `least` words of which at most one in `rate` is altered
 (replaced, dropped or put in) makes a leak.
@@ -43,6 +43,8 @@ def stretch(doc: list[str], item: list[str], least: int, rate: int) -> tuple[int
     for j, w in enumerate(doc):
         places.setdefault(w, []).append(j)
     n, m, best = len(item), len(doc), None
+    if sum([w in places for w in item]) < least - least // rate:  # too few words in common for any stretch
+        return None
     for i0, w in enumerate(item):
         if n - i0 < least:
             break
@@ -93,7 +95,7 @@ def item_words(items: DataFrame, key: str, text: str) -> DataFrame:
 
 def leaks(
     documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", key: str = "item_id",
-    item_text: str = "text", least: int = 20, rate: int = 12, run: int = 8,
+    item_text: str = "text", least: int = 20, rate: int = 12, run: int = 8, further: int = 3,
 ) -> DataFrame:
     """(doc_id, item_id, item_start, n_words, altered) of the longest stretch of each leaked item in each document.
 
@@ -115,23 +117,23 @@ def leaks(
         .join(hint(vocabulary), "term")
     )
     rarity = index.groupBy("term").agg(F.approx_count_distinct("doc_id").alias("df"))
-    # The rarest two terms of each run of an item; runs that share both ask the index once.
+    # The rarest terms of each run of an item; runs that share them ask the index once.
     ahead = Window.partitionBy("item_id").orderBy("ipos").rowsBetween(0, run - 1)
     known = terms.select("item_id", "ipos", "term").join(hint(rarity), "term", "left")
+    rarest = F.transform(F.slice("w", 2, further), lambda x: F.struct(x.term.alias("term"), x.ipos.alias("ipos")))
     runs = (
         known.withColumn("w", F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "ipos")).over(ahead)))
-        .where(F.size("w") == run)
-        .select("item_id", F.col("w")[0].alias("a"), F.col("w")[1].alias("b"))
+        .where((F.size("w") == run) & (F.col("w")[0].df > 0))
+        .select("item_id", F.col("w")[0].term.alias("term"), F.col("w")[0].ipos.alias("ipos"), rarest.alias("rest"))
         .distinct()
-        .where("a.df > 0")
-        .select("item_id", F.col("a.term").alias("term"), F.col("a.ipos").alias("ipos"), F.col("b.term").alias("term2"), (F.col("b.ipos") - F.col("a.ipos")).alias("ahead"))
-    )
+        .withColumn("run", F.xxhash64("item_id", "ipos", "rest"))
+    )
     runs = scratch.keep(runs)
-    first = index.join(hint(runs), "term").select(
-        "doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("base"), F.col("term2").alias("term"), (F.col("dpos") + F.col("ahead")).alias("dpos")
-    )
-    second = index.join(hint(runs.select(F.col("term2").alias("term")).distinct()), "term")
-    hits = first.join(second, ["doc_id", "term", "dpos"], "left_semi")
+    asked = index.join(hint(runs), "term").select("doc_id", "item_id", "run", (F.col("dpos") - F.col("ipos")).alias("base"), F.explode("rest").alias("r"))
+    asked = asked.select("doc_id", "item_id", "run", "base", F.col("r.term").alias("term"), (F.col("base") + F.col("r.ipos")).alias("dpos"))
+    rest_terms = runs.select(F.explode("rest").alias("r")).select("r.term").distinct()
+    met = asked.join(index.join(hint(rest_terms), "term"), ["doc_id", "term", "dpos"])
+    hits = met.groupBy("doc_id", "item_id", "run", "base").agg(F.countDistinct("dpos").alias("n")).where(F.col("n") == further)
     # Places close together are aligned once.
     places = hits.groupBy("doc_id", "item_id", F.floor(F.col("base") / 16).alias("near")).agg(F.min("base").alias("base"))
     margin = 16 + 2 * run
@@ -140,8 +142,8 @@ def leaks(
         places.join(tokens, "doc_id")
         .join(lengths, "item_id")
         .select(
-            "doc_id", "item_id", "words",
-            F.slice("w", F.greatest(F.col("base") - margin, F.lit(0)) + 1, F.size("words") + 2 * margin + 16).alias("w"),
+            "doc_id", "item_id", F.array_join("words", " ").alias("words"),
+            F.array_join(F.slice("w", F.greatest(F.col("base") - margin, F.lit(0)) + 1, F.size("words") + 2 * margin + 16), " ").alias("w"),
         )
     )
 
@@ -149,7 +151,7 @@ def leaks(
 
     @F.pandas_udf(shape)
     def aligned(doc_words: pd.Series, words_of_item: pd.Series) -> pd.DataFrame:
-        found = [stretch(list(a), list(b), least, rate) or (None, None, None) for a, b in zip(doc_words, words_of_item)]
+        found = [stretch(a.split(" "), b.split(" "), least, rate) or (None, None, None) for a, b in zip(doc_words, words_of_item)]
         return pd.DataFrame(found, columns=shape.names).astype("Int32")
 
     return (
