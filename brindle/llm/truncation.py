@@ -3,7 +3,8 @@
 Two kinds of evidence are joined. Storage limits: the length of each text is
 recomputed under several measures (characters, UTF-8 bytes, UTF-16 units, HTML
 entities, JSON escapes, CRLF line ends), and a length at which several texts of a
-source end while none is longer is a limit of that source and field. Endings: a
+source end while none is longer, or clearly more end unfinished than at the lengths
+around it, is a limit of that source and field, of which there may be several. Endings: a
 text that ends within a word, a sentence or a JSON value, or with a sign of cutting,
 is cut; one whose ending alone decides nothing (a heading, an address, a line of a
 page without a full stop) is cut if it ends exactly at a limit, or if its last line
@@ -15,7 +16,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,12 +134,25 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
-def limits(sized: DataFrame) -> DataFrame:
-    """(source, field, m, size) of the limits: the greatest length under measure m, where two different texts end."""
-    sizes = sized.select("print", "source", "field", F.posexplode("sizes").alias("m", "size"))
-    counted = sizes.groupBy("source", "field", "m", "size").agg(F.min("print").alias("a"), F.max("print").alias("b"))
-    top = counted.groupBy("source", "field", "m").agg(F.max_by(F.struct("size", "a", "b"), "size").alias("t"))
-    return top.where("t.a <> t.b and t.size >= 64").select("source", "field", "m", F.col("t.size").alias("size"))
+def limits(sized: DataFrame, reach: int = 64) -> DataFrame:
+    """(source, field, m, size) of all limits under measure m: a source may change its limits, so there may be several.
+
+    A limit is the greatest length of a source's field, where two different texts end
+    there, and every length at which clearly more different texts end unfinished than
+    at the lengths up to `reach` away (by Chernoff's bound on that rate, with one text
+    added to the neighbours), one at least in a cut ending, two where the odds are weaker.
+    """
+    cells = ["source", "field", "m"]
+    texts = sized.select("source", "field", "print", "sizes", "verdict").distinct()
+    sizes = texts.select("source", "field", "verdict", F.posexplode("sizes").alias("m", "size")).where(F.col("size") >= 64)
+    counted = sizes.groupBy(*cells, "size").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") != WHOLE).alias("unfinished"), F.count_if(F.col("verdict") == CUT).alias("cut"))
+    # The windows run over lengths, not texts: a group has as many rows as different lengths.
+    around = Window.partitionBy(*cells).orderBy("size").rangeBetween(-reach, reach)
+    rated = counted.withColumn("top", F.max("size").over(Window.partitionBy(*cells))).withColumn("rate", (F.sum("unfinished").over(around) - F.col("unfinished") + 1) / F.lit(2.0 * reach))
+    n = F.col("unfinished")
+    odds = F.when(n > F.col("rate"), n * (F.log(n / F.col("rate")) - 1) + F.col("rate")).otherwise(0.0)
+    found = (F.col("size") == F.col("top")) & (F.col("n") >= 2) | (odds >= 12) & (F.col("cut") >= 1) | (odds >= 9) & (F.col("cut") >= 2)
+    return rated.where(found).select(*cells, "size")
 
 
 def openings(pages: Column, whole: bool) -> Column:

@@ -41,3 +41,13 @@ def test_frame(spark):
     got = {(r.id, r.field) for r in cut_texts(df, ["p", "q", "k"], ["k"]).where("cut").collect()}
     assert got == {(20, "p"), (21, "q"), (21, "k"), (30, "p"), (31, "p")}
     assert cut_texts(df.limit(0), ["p", "q", "k"], ["k"]).count() == 0
+
+
+def test_every_limit(spark):
+    """A source that moved from 80 to 96 characters has two limits; one longer text hides none, equal lengths of whole texts make none."""
+    rows = [(i, "m.example", f"Take {i}. URL: https://m.example/".ljust(80, "x")) for i in range(10, 12)] + [(i, "m.example", f"Take {i} of the words".ljust(80, "x")) for i in range(12, 15)]
+    rows += [(i, "m.example", f"Take {i}. URL: https://m.example/".ljust(96, "y")) for i in range(20, 22)] + [(i, "m.example", f"Take {i} of the words".ljust(96, "y")) for i in range(22, 25)]
+    rows += [(30, "m.example", "It is a longer text. " * 9), (31, "m.example", "Take 31. URL: https://m.example/whole".ljust(88, "z"))]
+    rows += [(i, "n.example", f"Take {i}. It is a whole sentence".ljust(79, "w") + ".") for i in range(40, 50)] + [(51, "n.example", "Take 51. URL: https://n.example/".ljust(80, "v")), (52, "n.example", "It is a longer text. " * 9)]
+    df = spark.createDataFrame([("r", *r) for r in rows], "run_id string, id int, source string, p string")
+    assert {r.id for r in cut_texts(df, ["p"], []).where("cut").collect()} == {*range(10, 15), *range(20, 25)}
