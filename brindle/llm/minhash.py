@@ -1,10 +1,8 @@
-"""Clusters of near-equal short texts by verified MinHash."""
+"""Clusters of near-equal short texts by verified shingles."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.sources.scratch import Scratch
@@ -17,47 +15,46 @@ def shingles(words: Column, size: int) -> Column:
     return F.array_distinct(runs)
 
 
-def signature_keys(shingle_hashes: Column, bands: int, rows: int) -> Column:
-    """One key for each band of `rows` MinHash values."""
-
-    def least(seed: int) -> Column:
-        return F.array_min(F.transform(shingle_hashes, lambda h: F.xxhash64(h, F.lit(seed))))
+def _near_pairs(base: DataFrame, similarity: float, block: int, scratch: Scratch) -> DataFrame:
+    """(a, b): the ids a < b of all pairs of texts whose shingles (columns id, s) are similar enough.
 
-    return F.array(*[F.xxhash64(F.lit(b), *[least(b * rows + r) for r in range(rows)]) for b in range(bands)])
+    Of two such texts, the |s| - ceil(similarity * |s|) + 1 rarest shingles of each
+    share one at least, so only texts that share one of those are compared.
+    """
+    each = base.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("df"))
+    length = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1
+    rarest = each.join(often, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    prefix = scratch.keep(rarest.select("id", "n", F.explode(F.slice("hs", 1, length)).alias("r")).where("r.df > 1").select("id", "n", F.col("r.h").alias("h")))
+    sharing = prefix.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    # A shingle of many texts is dealt out as pairs of blocks, so that no task holds all of its pairs.
+    dealt = prefix.join(sharing, "h").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    left = dealt.select("h", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("k").alias("lo"), F.explode(F.sequence("k", F.col("blocks") - 1)).alias("hi"))
+    right = dealt.select("h", F.col("id").alias("y"), F.col("n").alias("ny"), F.explode(F.sequence(F.lit(0), "k")).alias("lo"), F.col("k").alias("hi"))
+    met = left.join(right, ["h", "lo", "hi"]).where("lo < hi or x < y").where(F.least("nx", "ny") >= similarity * F.greatest("nx", "ny") - 1e-9)
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = pairs.join(base.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(base.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return pairs.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def clusters(texts: DataFrame, key: str = "text", size: int = 5, similarity: float = 0.8, bands: int = 8, rows: int = 4) -> DataFrame:
+def clusters(texts: DataFrame, key: str = "text", size: int = 5, similarity: float = 0.8, block: int = 2000) -> DataFrame:
     """(key, cluster): the cluster of each distinct text, named by its first member.
 
     Texts whose shingles have a Jaccard similarity of `similarity` or more are
-    linked; a link is always verified on the shingles themselves. In every bucket of
-    equal band keys each text is compared with the bucket's first text; what isn't
-    like it goes into another round, its bucket narrowed by the key of one more
-    band, until all are placed: no pairs within a bucket, and rounds in the number
-    of bands. Clusters are the linked texts' connected components, by passing on the
-    least name until nothing changes.
+    linked, all of them: candidates share one of their rarest shingles, which is
+    exact, and are verified on the shingles themselves. Clusters are the linked
+    texts' connected components, by passing on the least name until nothing changes.
     Null texts are left out; an empty text is a cluster of its own.
     """
     scratch = Scratch(texts.sparkSession, "minhash")
     words = F.split(F.col(key), " ")
-    base = scratch.keep(texts.where(F.col(key).isNotNull()).select(key).distinct().withColumn("s", shingles(words, size)))
-    keyed = base.select(key, "s", signature_keys(F.col("s"), bands, rows).alias("keys"))
-    left = keyed.select(key, "s", "keys", F.posexplode("keys").alias("band", "bucket"))
-    links = []
-    narrowed = 0
-    while True:
-        heads = left.groupBy("bucket").agg(F.min(F.struct(F.col(key).alias("head"), F.col("s").alias("head_s"))).alias("h"), F.count("*").alias("n")).where("n > 1").select("bucket", "h.*")
-        met = left.join(heads, "bucket").where(F.col(key) != F.col("head"))
-        shared = F.size(F.array_intersect("s", "head_s"))
-        near = shared >= similarity * (F.size("s") + F.size("head_s") - shared)
-        met = scratch.keep(met.select(key, "s", "keys", "band", "bucket", "head", near.alias("near")))
-        links.append(met.where("near").select(F.col(key).alias("a"), F.col("head").alias("b")).distinct())
-        narrowed += 1
-        further = F.element_at("keys", (F.pmod(F.col("band") + narrowed, F.lit(bands)) + 1).cast("int"))
-        left = met.where("not near").select(key, "s", "keys", "band", F.xxhash64("bucket", further).alias("bucket"))
-        if not left.take(1):
-            break
-    edges = reduce(DataFrame.unionByName, links).distinct()
+    base = texts.where(F.col(key).isNotNull()).select(key).distinct().withColumn("s", shingles(words, size))
+    base = scratch.keep(base.withColumn("id", F.monotonically_increasing_id()))
+    edges = _near_pairs(base, similarity, block, scratch)
+    named = base.select("id", key)
+    edges = edges.join(named.select(F.col("id").alias("a"), F.col(key).alias("ta")), "a").join(named.select(F.col("id").alias("b"), F.col(key).alias("tb")), "b")
+    edges = scratch.keep(edges.select(F.col("ta").alias("a"), F.col("tb").alias("b")))
     both = scratch.keep(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = base.select(key, F.col(key).alias("cluster"))
     while True:

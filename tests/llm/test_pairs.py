@@ -1,3 +1,5 @@
+import random
+
 from brindle.llm.minhash import clusters
 from brindle.llm.pairs import copied_share, defects, even, is_empty, is_wrong_language, opening_sentence
 
@@ -42,6 +44,38 @@ def test_clusters(spark):
     assert clusters(df.limit(0)).count() == 0
 
 
+def test_all_near_texts_are_linked(spark):
+    """Random texts with a few words replaced: the clusters equal those of all pairs, also where shingles are dealt in blocks."""
+    rnd = random.Random(3)
+    texts = []
+    for _ in range(6):
+        words = [f"w{rnd.randrange(500)}" for _ in range(40)]
+        for _ in range(25):
+            words = list(words)
+            words[rnd.choice([0, 0, 1, 38, 39, 39, 20])] = f"w{rnd.randrange(500)}"
+            texts.append(" ".join(words))
+    texts = sorted(set(texts))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(36)} for t in texts]
+    want = {t: t for t in texts}
+    for i, a in enumerate(texts):
+        for j in range(i):
+            b, both = texts[j], len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and want[a] != want[b]:
+                old, new = max(want[a], want[b]), min(want[a], want[b])
+                want = {t: new if c == old else c for t, c in want.items()}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r.text: r.cluster for r in clusters(df).collect()} == want
+    assert {r.text: r.cluster for r in clusters(df, block=4).collect()} == want
+
+
+def test_pairs_at_the_least_similarity_are_linked(spark):
+    """400 pairs of similarity 0.8 exactly: each is a cluster of two."""
+    rnd = random.Random(4)
+    firsts = [[f"w{rnd.randrange(10**6)}" for _ in range(40)] for _ in range(400)]
+    df = spark.createDataFrame([(" ".join(w),) for a in firsts for w in (a, [*a[:3], "other", *a[4:]])], "text string")
+    assert [r["count"] for r in clusters(df).groupBy("cluster").count().collect()] == [2] * 400
+
+
 def test_defects(spark):
     rows = [("r", i, "s", f"{PROMPT} Number {i}.", "I am unable to process this page. It is private.") for i in range(3)]
     rows += [("r", 10, "s", PROMPT, "The archive refuses files without a checksum. It is so."), ("r", 11, "s", PROMPT, "[]"), ("r", 12, "s", PROMPT, PROMPT)]
