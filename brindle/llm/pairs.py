@@ -189,18 +189,35 @@ def traits_of(prompt: str | None, response: str | None) -> tuple:
     return False, even(first), copied_share(prompt, response, least=0.5) >= 0.5, is_wrong_language(prompt, response, told), bool(DECLINES.search(first)), bool(WEAK.search(first))
 
 
-def refusal_openings(traits: DataFrame, recurring: int = 3) -> DataFrame:
-    """(opening) of the clusters that decline: most members in the first person, or most in words of declining under `recurring` or more unrelated prompts."""
+def refusal_openings(traits: DataFrame, prompts: DataFrame, keys: list[str], recurring: int = 3) -> DataFrame:
+    """(opening) of the clusters that decline: most members in the first person, or most in words of declining under `recurring` or more unrelated prompts.
+
+    `prompts` has the keys and the prompt. Prompts are unrelated that fall in
+    different clusters of the prompts' texts, addresses left out and numbers evened
+    out: retried calls, variants of one opening and prompts of one template with
+    other addresses count once. Only prompts on which a cluster depends are read.
+    """
     scratch = Scratch(traits.sparkSession, "refusals")
-    by_opening = scratch.keep(
-        traits.where("opening <> ''")
-        .groupBy("opening")
-        .agg(F.count("*").alias("n"), F.count_if("strong").alias("strong"), F.count_if("weak").alias("weak"), F.min("prompt_print").alias("p0"), F.max("prompt_print").alias("p1"), F.approx_count_distinct("prompt_print").alias("prompts"))
-    )
-    placed = by_opening.join(minhash.clusters(by_opening, "opening"), "opening")
-    of_cluster = placed.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("strong").alias("strong"), F.sum("weak").alias("weak"), F.sum("prompts").alias("prompts"))
-    declining = of_cluster.where((F.col("strong") * 2 > F.col("n")) | ((F.col("weak") * 2 > F.col("n")) & (F.col("prompts") >= recurring)))
-    return placed.join(declining.select("cluster"), "cluster", "left_semi").select("opening")
+    opened = traits.where("opening <> ''")
+    by_opening = scratch.keep(opened.groupBy("opening").agg(F.count("*").alias("n"), F.count_if("strong").alias("strong"), F.count_if("weak").alias("weak")))
+    placed = scratch.keep(by_opening.join(minhash.clusters(by_opening, "opening"), "opening"))
+    of_cluster = scratch.keep(placed.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("strong").alias("strong"), F.sum("weak").alias("weak")))
+    declining = of_cluster.where(F.col("strong") * 2 > F.col("n")).select("cluster")
+    unsure = of_cluster.where((F.col("strong") * 2 <= F.col("n")) & (F.col("weak") * 2 > F.col("n")) & (F.col("n") >= recurring))
+    unsure_openings = placed.join(unsure.select("cluster"), "cluster", "left_semi").select("opening", "cluster")
+    under = scratch.keep(opened.select(*keys, "opening").join(unsure_openings, "opening").select(*keys, "cluster"))
+
+    @F.pandas_udf("string")
+    def evened(texts: pd.Series) -> pd.Series:
+        return pd.Series([even(_ADDRESS.sub(" ", t or "")) for t in texts], dtype=object)
+
+    if n := under.count():
+        read = prompts.join(F.broadcast(under) if n < 200_000 else under, keys)
+        asked = scratch.keep(read.select("cluster", evened("prompt").alias("asked")).distinct())
+        alike = minhash.clusters(asked, "asked").withColumnRenamed("cluster", "asked_alike")
+        recurs = asked.join(alike, "asked").groupBy("cluster").agg(F.count_distinct("asked_alike").alias("prompts"))
+        declining = declining.unionByName(recurs.where(F.col("prompts") >= recurring).select("cluster"))
+    return placed.join(declining, "cluster", "left_semi").select("opening")
 
 
 def defects(calls: DataFrame, prompt: str = "prompt_preview", response: str = "response_preview", keys: tuple[str, ...] = ("run_id", "id"), source: str = "source") -> DataFrame:
@@ -217,11 +234,11 @@ def defects(calls: DataFrame, prompt: str = "prompt_preview", response: str = "r
         return pd.DataFrame([traits_of(p, r) for p, r in zip(prompts, responses)], columns=_TRAITS.names)
 
     each = scratch.keep(
-        calls.select(*keys, F.xxhash64(prompt).alias("prompt_print"), traits(F.col(prompt), F.col(response)).alias("t"))
-        .select(*keys, "prompt_print", "t.*")
+        calls.select(*keys, traits(F.col(prompt), F.col(response)).alias("t"))
+        .select(*keys, "t.*")
         .dropDuplicates([*keys])
     )
-    declining = refusal_openings(each).withColumn("refusal", F.lit(True))
+    declining = refusal_openings(each, calls.select(*keys, F.col(prompt).alias("prompt")), [*keys]).withColumn("refusal", F.lit(True))
     # Refusals are few openings: the size is checked before they are sent to all.
     declining = scratch.keep(declining)
     few = declining.count() < 200_000

@@ -85,3 +85,15 @@ def test_defects(spark):
     got = {(r.id, r.defect) for r in defects(df).collect()}
     assert got == {*[(i, "refusal") for i in range(3)], (11, "empty"), (12, "copy"), (13, "wrong_language"), (14, "wrong_language"), (14, "truncated"), (15, "empty")}
     assert defects(df.limit(0)).count() == 0
+
+
+def test_recurring_under_unrelated_prompts(spark):
+    """Words of declining recur under three prompts; variants of an opening, retried calls and addresses of one template aren't other prompts."""
+    private = "Unfortunately this page is kept from reading today. It is private."
+    closed = "Unfortunately the list of all courses at this place was closed for the winter and stays so until the first day of {}. It is private."
+    other = ["List all the courses with their dates and places.", "Which people teach here, and on what days do they do it?", "Sum up this text in a few short words for a newsletter."]
+    rows = [(i, p, private.replace("page", "file")) for i, p in enumerate(other)]
+    rows += [(10 + i, f"{PROMPT} Number {i}. URL: https://a.example/{'xyz'[i]}", private.replace("page", "talk")) for i in range(3)]
+    rows += [(20 + i, PROMPT, closed.format(m)) for i, m in enumerate(("March", "April", "May"))]
+    df = spark.createDataFrame([("r", i, "s", p, r) for i, p, r in rows], "run_id string, id int, source string, prompt_preview string, response_preview string")
+    assert {r.id for r in defects(df).where("defect = 'refusal'").collect()} == {0, 1, 2}
