@@ -78,21 +78,21 @@ def is_empty(response: str | None) -> bool:
         t = bare
     if t.casefold() in PLACEHOLDERS:
         return True
-    if t[:1] not in "[{\"" or len(t) > 2000:
+    if t[:1] not in "[{\"":
         return False
     try:
-        value = json.loads(t)
+        left = [json.loads(t)]
     except (ValueError, RecursionError):
         return False
-
-    def blank(v: object) -> bool:
+    while left:
+        v = left.pop()
         if isinstance(v, dict):
-            return all(blank(x) for x in v.values())
-        if isinstance(v, list):
-            return all(blank(x) for x in v)
-        return v is None or isinstance(v, str) and v.strip().casefold() in PLACEHOLDERS
-
-    return blank(value)
+            left += v.values()
+        elif isinstance(v, list):
+            left += v
+        elif v is not None and not (isinstance(v, str) and v.strip().casefold() in PLACEHOLDERS):
+            return False
+    return True
 
 
 def statements(response: str) -> list[str]:
@@ -117,9 +117,9 @@ def opening_sentence(response: str, told: list[str] | None = None) -> str:
 
 
 def even(sentence: str) -> str:
-    """A sentence in lower case, with numbers and punctuation evened out, of at most 40 words."""
+    """A sentence in lower case, with numbers and punctuation evened out."""
     words = _WORD.findall(re.sub(r"['’]", "", sentence.lower()))
-    return " ".join("0" if w.isdigit() else w for w in words[:40])
+    return " ".join("0" if w.isdigit() else w for w in words)
 
 
 def language(texts: list[str]) -> str:

@@ -14,6 +14,13 @@ def test_empty():
         assert not is_empty(t), t
 
 
+def test_long_shells_and_openings():
+    for t in ('{"items": [' + ", ".join(['{"name": "", "url": null}'] * 400) + "]}", "{" + " " * 3000 + '"a": ""' + "}", "```json\n[" + '"", ' * 900 + '""]\n```'):
+        assert len(t) > 2000 and is_empty(t)
+    assert not is_empty('{"items": [' + ", ".join(['{"name": ""}'] * 400) + ', {"name": "A course"}]}')
+    assert even("one " * 60 + "a 12") == "one " * 60 + "a 0"
+
+
 def test_language():
     assert is_wrong_language(PROMPT, GERMAN)
     assert not is_wrong_language(PROMPT + " Write every description in German.", GERMAN)
