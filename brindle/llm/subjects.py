@@ -259,8 +259,17 @@ def subject_areas(
     described = areas.where("subject is not null").select(
         F.element_at(index, code_of(F.col("subject"))).alias("subject"), hashed_sentences(F.concat_ws(". ", "name", "description"), s.buckets).alias("sentences")
     )
-    seeds = scratch.keep(prepared.join(single, "doc_id").select("subject", "sentences").unionByName(described))
     votes = _language_votes(spark, s.buckets)
+    speaks = spark.sparkContext.broadcast(_Model(s, votes, np.zeros(s.buckets)))
+
+    def spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            language = speaks.value.parts(batch.column("sentences"))[4]
+            yield pa.RecordBatch.from_arrays([batch.column("subject"), pa.array(language.astype(np.int32)), batch.column("sentences")], names=["subject", "language", "sentences"])
+
+    seeded = "subject int, language int, sentences array<array<int>>"
+    labelled = scratch.keep(prepared.join(single, "doc_id").select("subject", "sentences").mapInArrow(spoken, seeded))
+    seeds = labelled.select("subject", "sentences").unionByName(described)
     by_subject = _counts(seeds.withColumn("terms", distinct_terms), s, n_subjects)
     for k in range(s.rounds):
         model = _Model(s, votes, _weights(documents_of, total, by_subject, s))
@@ -274,19 +283,19 @@ def subject_areas(
             m: _Model = sent.value
             for batch in batches:
                 cosines, on, _, _ = _judge(m, batch.column("sentences"), n_subjects)
+                language = m.parts(batch.column("sentences"))[4]
                 order = np.sort(cosines, axis=1)
                 best = cosines.argmax(1)
                 second = order[:, -2] if n_subjects > 1 else np.full(len(order), -1.0)
                 sure = (order[:, -1] >= m.s.plain) & (second < m.s.similarity) & (on[np.arange(len(on)), best] >= 2)
-                yield pa.RecordBatch.from_arrays([pa.array(best[sure].astype(np.int32)), batch.column("sentences").filter(pa.array(sure))], names=["subject", "sentences"])
-
-        assigned = prepared.select("sentences").mapInArrow(plain, "subject int, sentences array<array<int>>")
-        more = scratch.keep(assigned.unionByName(described))
-        counted = _counts(more.withColumn("terms", distinct_terms), s, n_subjects)
-        # A subject without plain documents keeps its seeds.
-        found = set(np.flatnonzero(counted.sum(0) > 0))
-        if len(found) == n_subjects:
-            seeds, by_subject = more, counted
+                yield pa.RecordBatch.from_arrays([pa.array(best[sure].astype(np.int32)), pa.array(language[sure].astype(np.int32)), batch.column("sentences").filter(pa.array(sure))], names=["subject", "language", "sentences"])
+
+        assigned = scratch.keep(prepared.select("sentences").mapInArrow(plain, seeded))
+        # A subject without plain documents in a language keeps its labelled ones in it.
+        held = assigned.select("subject", "language").distinct()  # subjects x languages
+        kept = labelled.join(F.broadcast(held), ["subject", "language"], "left_anti")
+        seeds = assigned.unionByName(kept).select("subject", "sentences").unionByName(described)
+        by_subject = _counts(seeds.withColumn("terms", distinct_terms), s, n_subjects)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: _Model = sent.value

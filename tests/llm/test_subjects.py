@@ -47,6 +47,18 @@ def test_held_out(spark):
     assert not [d for d, _ in got if d is None or d >= 500]
 
 
+def test_labelled_seeds_stay_without_plain_documents(spark):
+    """No document is plain: the labelled ones stay seeds in the rounds after the first, though the descriptions say nothing."""
+    docs, truth = corpus(160)
+    labels = [(d, next(iter(truth[d]))) for d in range(90) if len(truth[d]) == 1]
+    areas = spark.createDataFrame([(s, "", "A part of the course.") for s in TOPICS], "subject string, name string, description string")
+    df = spark.createDataFrame(docs, "doc_id long, text string, subject string")
+    found = subject_areas(df, areas, spark.createDataFrame(labels, "doc_id long, subject string"), settings=Settings(rank=12, rounds=2, passes=2, plain=1.1))
+    held = {(r.doc_id, r.subject) for r in found.collect() if r.doc_id >= 90}
+    want = {(d, s) for d in truth for s in truth[d] if d >= 90}
+    assert len(held & want) / len(want) > 0.9 and len(held & want) / len(held) > 0.9
+
+
 def test_empty(spark):
     areas = spark.createDataFrame([("law", "Law", "courts")], "subject string, name string, description string")
     labels = spark.createDataFrame([], "doc_id long, subject string")
