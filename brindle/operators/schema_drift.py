@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections import Counter
 
 import pandas as pd
@@ -29,6 +30,8 @@ from pyspark.sql import types as T
 from brindle.sources.scratch import Scratch
 
 _KINDS = {str: "string", int: "number", float: "number", bool: "boolean", dict: "object", list: "array"}
+#: A JSON number, zeros before it left out.
+_NUMBER = re.compile(r"(-?)0*([0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)")
 _FIELD = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -286,29 +289,55 @@ def canonical_names(found: DataFrame, scratch: Scratch, steps: int = 6) -> DataF
     return links
 
 
+def cast_text(value: str, kind: str, listed: bool = False) -> str:
+    """A JSON text as another one of type `kind`, 'null' where it can't be read so; `listed`: an array, each element of which is cast."""
+    if listed:
+        return "[" + ", ".join(cast_text(json.dumps(e, sort_keys=True, ensure_ascii=False), kind) for e in json.loads(value)) + "]"
+    v = json.loads(value)
+    if v is None or _KINDS[type(v)] == kind:
+        return value
+    if kind == "string":
+        return json.dumps(value, ensure_ascii=False)
+    text = v.strip() if isinstance(v, str) else ""
+    if kind == "number":
+        m = _NUMBER.fullmatch(text)
+        return m.group(1) + m.group(2) if m else "null"
+    if kind == "boolean":
+        return text.lower() if text.lower() in ("true", "false") else "null"
+    try:
+        read = json.loads(text)
+        if _KINDS.get(type(read)) == kind:
+            return json.dumps(read, sort_keys=True, ensure_ascii=False)
+    except (ValueError, RecursionError):
+        pass
+    return f"[{value}]" if kind == "array" else "null"
+
+
 def consistent_table(rows: DataFrame, found: DataFrame, text: str, origin: str, seq: str, key: str, order: str, whole: tuple[str, ...]) -> DataFrame:
     """(order, origin, seq, key, field, type, value): all objects of all files under one set of field names and types.
 
     A field bears its first name; its type is the most frequent one over all files;
-    a value is JSON text, cast where its own type is another: to a string by
-    quoting, to a number or boolean where the text reads as one, else null.
+    a value is JSON text, cast where its own type is another (each element by itself
+    in a list of objects): to a string by quoting, to a number, boolean, object or
+    array where the text reads as one, any other value to an array of itself, else null.
     """
     scratch = Scratch(rows.sparkSession, "drift-table")
     names = canonical_names(found, scratch)
     flat = flattened(rows, text, origin, seq, key, order, set(whole))
     kinds = _FIELD.names[2:7]
     values = flat.select("order", "origin", "seq", "key", F.explode("flat.fields").alias("f")).select("order", "origin", "seq", "key", F.col("f.path").alias("path"), *[f"f.{k}" for k in kinds], "f.value")
-    named = values.join(F.broadcast(names) if names.count() < 100_000 else names, "path", "left").withColumn("field", F.coalesce("name", "path")).drop("name", "path")
+    named = values.join(F.broadcast(names) if names.count() < 100_000 else names, "path", "left").withColumn("field", F.coalesce("name", "path")).withColumn("path_listed", F.col("path").contains("[]")).drop("name", "path")
     named = scratch.keep(named)
     most = F.greatest(*kinds)
     types = named.groupBy("field").agg(*[F.sum(k).alias(k) for k in kinds]).select("field", F.coalesce(*[F.when((F.col(k) == most) & (most > 0), F.lit(k)) for k in kinds], F.lit("string")).alias("type"))
     types = F.broadcast(types) if types.count() < 100_000 else types
-    bare = F.regexp_replace("value", r'^"(.*)"$', "$1")
-    cast = (
-        F.when(F.col("field").contains("[]") | F.col("value").isin("null"), F.col("value"))
-        .when((F.col("type") == "string") & (F.col("string") == 0), F.to_json(F.array("value")).substr(F.lit(2), F.length(F.to_json(F.array("value"))) - 2))
-        .when((F.col("type") == "number") & (F.col("number") == 0), F.when(bare.rlike(r"^-?\d+(\.\d+)?$"), bare).otherwise("null"))
-        .when((F.col("type") == "boolean") & (F.col("boolean") == 0), F.when(F.lower(bare).isin("true", "false"), F.lower(bare)).otherwise("null"))
-        .otherwise(F.col("value"))
-    )
+    # Only values with another type than the field's go through the cast.
+    own = F.coalesce(*[F.when(F.col("type") == k, F.col(k)) for k in kinds], F.lit(0))
+    other = sum(F.col(k) for k in kinds) > own
+
+    @F.pandas_udf("string")
+    def cast_to(values: pd.Series, kinds_: pd.Series, listed: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else cast_text(v, k, e) for v, k, e in zip(values, kinds_, listed)], dtype=object)
+
+    cast = F.coalesce(cast_to(F.when(other, F.col("value")), F.col("type"), F.col("path_listed")), F.col("value"))
     return named.join(types, "field").select("order", "origin", "seq", "key", "field", "type", cast.alias("value"))

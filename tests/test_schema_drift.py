@@ -66,3 +66,11 @@ def test_table(spark):
     assert "parts[].heading" in names and "parts[].title" not in names
     counts = {r.value for r in one.where("field = 'count'").collect()}
     assert counts == {str(k) for k in range(6)}
+
+
+def test_table_casts_lists_and_every_number(spark):
+    files = {1: [{"n": k, "l": ["x"], "d": {}, "parts": [{"size": k}, {"size": 1}]} for k in range(4)], 2: [{"n": "1e5", "l": "y", "d": "z", "parts": [{"size": "7"}, {"size": None}, {"size": "big"}]}]}
+    df = spark.createDataFrame(rows_of(files), SCHEMA)
+    one = consistent_table(df, changes(df), "structural_summary", "origin", "file_seq", "url", "id", ("d",))
+    got = {r.field: (r.type, r.value) for r in one.where("seq = 2").collect()}
+    assert got == {"n": ("number", "1e5"), "l": ("array", '["y"]'), "d": ("object", "null"), "parts[].size": ("number", "[7, null, null]")}
