@@ -53,7 +53,7 @@ NOTICE_START = re.compile(
     r"|also of interest|auch interessant|à voir aussi|también de interés|powered by \S"
     r"|we use coo|wir setzen coo|nous utilisons des coo|usamos coo|this site needs a few"
 )
-#: Phrases that only such lines hold, wherever the text begins or ends.
+#: Phrases that such lines hold, a cheap test before the patterns below.
 NOTICE_PHRASES = (
     "cookie", "small files on your device", "your privacy matters", "kleine dateien auf ihrem gerät", "petits fichiers sur votre appareil", "pequeños archivos en su dispositivo",
     "all rights reserved", "alle rechte vorbehalten", "tous droits réservés", "todos los derechos reservados",
@@ -61,13 +61,34 @@ NOTICE_PHRASES = (
     "sie können dies ablehnen", "stimmen sie dem zu", "verpassen sie keinen kurs", "vous pouvez les refuser", "ne manquer aucun cours",
     "puede rechazarlas en cualquier momento", "usted lo acepta", "no se pierda ningún curso",
 )
+#: What only such lines say, and how they end where a text begins within them.
+NOTICE_WORDS = re.compile(
+    r"small files on your device|your privacy matters|kleine dateien auf ihrem gerät|petits fichiers sur votre appareil|pequeños archivos en su dispositivo"
+    r"|\ball rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|regional programme, grant [\d-]+"
+    r"|(?:refuse them at any time|continuing to browse you accept this|purposes you allow below|switched off by default|never miss a course|bookmark this item"
+    r"|sie können dies ablehnen|stimmen sie dem zu|verpassen sie keinen kurs|vous pouvez les refuser|ne manquer aucun cours"
+    r"|puede rechazarlas en cualquier momento|usted lo acepta|no se pierda ningún curso)\.$"
+)
+#: A notice on cookies says that the site uses them or asks for consent; a link or button has two words at most.
+COOKIES = re.compile(r"\bcookies?\b")
+CONSENT = re.compile(
+    r"\bwe use\b|\bour cookies?\b|\bth(?:is|ese) (?:web)?(?:site|pages?)\b|\byou can (?:refuse|reject|accept)|\bkeep you signed in|\bcount visits|\baccept (?:all )?cookies|\bcookie (?:settings|policy|preferences|notice)"
+    r"|\bwir (?:setzen|verwenden|nutzen)|\bdiese (?:web)?(?:seite|site)|\bbesuche .*zählen|\bcookies? (?:akzeptieren|ablehnen)"
+    r"|\bnous utilisons|\bce site|\bmesurer les visites|\busamos|\butilizamos|\beste sitio|\bcontar las visitas"
+)
 NOTICE_END = re.compile(r"(?:(?:^| )web team|vous l.acceptez|(?:kennzeichen|convention|ayuda) [\d-]+)\.$|\(\d+ votes\)$|summer week in \S+, with")
 
 
+def _says_notice(low: str) -> bool:
+    if not any(p in low for p in NOTICE_PHRASES):
+        return False
+    return bool(NOTICE_WORDS.search(low)) or bool(COOKIES.search(low)) and (low.count(" ") < 2 or bool(CONSENT.search(low)))
+
+
 @lru_cache(maxsize=20_000)
 def is_notice(low: str) -> bool:
     """Whether a lower-case line is a notice, a call to act, a share bar or a footer."""
-    return bool(NOTICE_START.match(low)) or any(p in low for p in NOTICE_PHRASES) or bool(NOTICE_END.search(low[-80:]))
+    return bool(NOTICE_START.match(low)) or _says_notice(low) or bool(NOTICE_END.search(low))
 
 
 _CRUMBS = re.compile(r"^\S.{0,60}? (?:›|»|>|→) \S")
@@ -311,7 +332,7 @@ def as_text(lines: list[Line]) -> str:
 
 
 def looks_like_html(text: str) -> bool:
-    return bool(re.search(r"<(?:!doctype|html|body|div|p|table|main)\b", text[:4000], re.IGNORECASE))
+    return bool(re.search(r"<(?:!doctype|html|body|div|p|table|main)\b", text, re.IGNORECASE))
 
 
 def main_body(text: str | None, host: str | None = None) -> list[Line]:

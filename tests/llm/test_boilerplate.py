@@ -71,3 +71,13 @@ def test_frame(spark):
     df = spark.createDataFrame([(1, PAGE, 5), (2, None, 5), (3, "", 5)], "page_id long, html string, lines int")
     got = {r.page_id: r.n for r in df.select("page_id", F.size(body_line_numbers(F.col("html"), F.lit(None).cast("string"))).alias("n")).collect()}
     assert got == {1: 9, 2: 0, 3: 0}
+
+
+def test_notices_by_words_not_substrings():
+    from brindle.llm.boilerplate import is_notice, looks_like_html
+
+    for t in ("we use cookies to count visits to a hub. you can refuse them at any time.", "to count visits. you can refuse them at any time.", "cookies", "cookie policy", "nous utilisons des cookies.", "more courses, never miss a course."):
+        assert is_notice(t), t
+    for t in ("templates are made with cookiecutter.", "browsers send a cookie with each request of a session.", "never miss a course is the motto of the reading group.", "what 'refuse them at any time' means in law is read in unit 3."):
+        assert not is_notice(t), t
+    assert looks_like_html("<section>" + "words " * 1000 + "</section><p>End.</p>")
