@@ -1,242 +1,63 @@
 """The main body of web pages, apart from menus, notices, sidebars and footers.
 
-A page is rendered as a browser would show it: a tree builder with implied end tags
-and visibility rules yields every visible line with its kind (heading, text, list
-item, table row, code, button), the links in it and the block it stands in. Text
-that was turned into Markdown before is read into the same lines. Each line is then
-judged by its place (navigation, aside and footer elements), by what it is made of
-(links to top-level pages, bars of short parts) and by what it says (notices, calls
-to act, headings of sidebars); what a sidebar's heading stands over goes with it.
-All of it is a pass over one page at a time; Spark spreads the pages.
+Every page is rendered by layout (`functions.markup`: a tree builder with implied end
+tags and visibility rules, or the lines of Markdown), so that all its visible lines
+are known with their kind, block and place. No list of phrases says what is body.
+Layout tells much by itself: the head of the page, what stands in navigation, aside
+and footer elements, buttons, breadcrumbs, links to top-level pages. The rest is told
+by how lines recur over the whole corpus, with names and numbers evened out:
+
+* a line is a notice if it holds a sentence that recurs on many different pages, but
+  hardly ever in other lines: sentences of a text stand now alone, now among others,
+  those of notices always in the same line;
+* a heading stands over a sidebar if it is found beside the body (before the main
+  heading or in an element of that place) on a fair share of the pages that have it.
+
+The counts are Spark aggregations over (form of sentence or heading, page): a line that stands on a
+third of all pages is pre-aggregated where it is read. Their result goes back to the
+pages by a join, and each page's lines are then taken or left in order.
 """
 
 from __future__ import annotations
 
-import html as entities
 import re
-from dataclasses import dataclass, field
-from functools import lru_cache
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-#: Elements without visible text, elements of a place, block elements and what ends them unasked.
-HIDDEN = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "select", "option", "textarea"}
-ASIDE = {"nav", "aside", "footer", "header"}
-BLOCKS = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figure", "footer", "form", "header", "main", "nav", "ol", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-LEAVES = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "button", "dt", "dd", "caption", "summary"}
-IMPLIED = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
-CLASS_WORDS = re.compile(r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|breadcrumbs?|top-?bar|masthead|side-?bar|col-(?:right|left|side)|related|widget|footer|page-bottom|bottom-bar|cookies?|consent|banner|promo|share|social|newsletter)(?:$|[\s_-])", re.IGNORECASE)
-
-#: The headings that stand over sidebars, in four languages.
-SIDEBAR = {
-    "browse by topic", "from our blog", "upcoming events", "popular this week", "related materials",
-    "themen", "aus unserem blog", "nächste termine", "beliebt", "verwandte materialien",
-    "thèmes", "notre blog", "sur notre blog", "prochains événements", "populaires", "ressources proches",
-    "temas", "nuestro blog", "próximos eventos", "populares", "materiales relacionados",
-}
-
-#: How notices, calls to act, share bars and footers begin, in lower case.
-NOTICE_START = re.compile(
-    r"(?:accept|reject|refuse) all$|(?:only necessary|settings|refuse|manage choices)$|alle akzeptieren$|nur notwendige$|einstellungen$|ablehnen$"
-    r"|tout accepter$|refuser$|réglages$|aceptar todo$|solo necesarias$|ajustes$|rechazar$"
-    r"|©|skip to content|back to top|zum inhalt springen|nach oben$|aller au contenu|haut de page|ir al contenido|volver arriba"
-    r"|imprint \||impressum \||mentions légales|aviso legal"
-    r"|found a mistake on this page|fehler auf dieser seite|une erreur sur cette page|¿?ha encontrado un error"
-    r"|funded in part by|gefördert durch das|soutenu par le programme|financiado por el programa"
-    r"|was this helpful|war das hilfreich|cette page vous a aidé|¿le ha sido útil"
-    r"|share this page|seite teilen|partager\s?:|compartir\s?:"
-    r"|subscribe to the|abonnieren sie|abonnez-vous|suscríbase"
-    r"|you are not logged in|sie sind nicht angemeldet|vous n.êtes pas connecté|no ha iniciado sesión"
-    r"|(?:advertisement|anzeige|werbung|publicité|publicidad|anuncio)$"
-    r"|also of interest|auch interessant|à voir aussi|también de interés|powered by \S"
-    r"|we use coo|wir setzen coo|nous utilisons des coo|usamos coo|this site needs a few"
-)
-#: Phrases that such lines hold, a cheap test before the patterns below.
-NOTICE_PHRASES = (
-    "cookie", "small files on your device", "your privacy matters", "kleine dateien auf ihrem gerät", "petits fichiers sur votre appareil", "pequeños archivos en su dispositivo",
-    "all rights reserved", "alle rechte vorbehalten", "tous droits réservés", "todos los derechos reservados",
-    "refuse them at any time", "continuing to browse you accept", "purposes you allow below", "switched off by default", "regional programme, grant", "never miss a course", "bookmark this item",
-    "sie können dies ablehnen", "stimmen sie dem zu", "verpassen sie keinen kurs", "vous pouvez les refuser", "ne manquer aucun cours",
-    "puede rechazarlas en cualquier momento", "usted lo acepta", "no se pierda ningún curso",
-)
-#: What only such lines say, and how they end where a text begins within them.
-NOTICE_WORDS = re.compile(
-    r"small files on your device|your privacy matters|kleine dateien auf ihrem gerät|petits fichiers sur votre appareil|pequeños archivos en su dispositivo"
-    r"|\ball rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|regional programme, grant [\d-]+"
-    r"|(?:refuse them at any time|continuing to browse you accept this|purposes you allow below|switched off by default|never miss a course|bookmark this item"
-    r"|sie können dies ablehnen|stimmen sie dem zu|verpassen sie keinen kurs|vous pouvez les refuser|ne manquer aucun cours"
-    r"|puede rechazarlas en cualquier momento|usted lo acepta|no se pierda ningún curso)\.$"
-)
-#: A notice on cookies says that the site uses them or asks for consent; a link or button has two words at most.
-COOKIES = re.compile(r"\bcookies?\b")
-CONSENT = re.compile(
-    r"\bwe use\b|\bour cookies?\b|\bth(?:is|ese) (?:web)?(?:site|pages?)\b|\byou can (?:refuse|reject|accept)|\bkeep you signed in|\bcount visits|\baccept (?:all )?cookies|\bcookie (?:settings|policy|preferences|notice)"
-    r"|\bwir (?:setzen|verwenden|nutzen)|\bdiese (?:web)?(?:seite|site)|\bbesuche .*zählen|\bcookies? (?:akzeptieren|ablehnen)"
-    r"|\bnous utilisons|\bce site|\bmesurer les visites|\busamos|\butilizamos|\beste sitio|\bcontar las visitas"
-)
-NOTICE_END = re.compile(r"(?:(?:^| )web team|vous l.acceptez|(?:kennzeichen|convention|ayuda) [\d-]+)\.$|\(\d+ votes\)$|summer week in \S+, with")
-
-
-def _says_notice(low: str) -> bool:
-    if not any(p in low for p in NOTICE_PHRASES):
-        return False
-    return bool(NOTICE_WORDS.search(low)) or bool(COOKIES.search(low)) and (low.count(" ") < 2 or bool(CONSENT.search(low)))
-
-
-@lru_cache(maxsize=20_000)
-def is_notice(low: str) -> bool:
-    """Whether a lower-case line is a notice, a call to act, a share bar or a footer."""
-    return bool(NOTICE_START.match(low)) or _says_notice(low) or bool(NOTICE_END.search(low))
-
-
-_CRUMBS = re.compile(r"^\S.{0,60}? (?:›|»|>|→) \S")
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\w[^>]*>|</?([a-zA-Z][\w-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([\w-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\S+)))?")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
-_HEADING = re.compile(r"(#{1,6})\s+")
-_BOLD = re.compile(r"\*\*[^*]+\*\*$")
-_ITEM = re.compile(r"(?:[-*+•]|\d+[.)])\s+")
-_BEGUN_LINK = re.compile(r"(.*?)\[([^\[\]]+)\]?(?:\((\S*))?$")
-_ENDED_LINK = re.compile(r"([^()\[\]]*)\]?\((https?:\S*)\)$")
+from brindle.functions.markup import Line, as_text, looks_like_html, read_markdown, render, site_name
+from brindle.sources.scratch import Scratch
+
+#: What is known of a line, as bits.
+HEADING, TITLE, ITEM, CELL, CONTROL, ASIDE, BEFORE, LINK, MENU, SHORT, TRAIL, OPENER, NAMED, UNDER_TITLE = (1 << k for k in range(14))
+#: What is found out of a form, as bits.
+NOTICE, OVER_SIDEBAR, OVER_TEXT = 1, 2, 4
+
+_WORD = re.compile(r"[^\W\d_]+|\d+|[©›»→|·]")
+_SENTENCE = re.compile(r"(?<=[.?!])\s+")
+_TRAIL = re.compile(r"\S[^.?!]*? (?:›|»|>|→) \S")
+_PART = re.compile(r"\s+[·|]\s+")
 _RIGHTS = re.compile(r"©\s*\d*\s*(.+?)\.(?:\s|$)")
-_SPACES = re.compile(r"\s+")
-_SENTENCE_END = re.compile(r"[.?!](?=\s|$)")
-_LINK = re.compile(r"\[([^\[\]]*)\]\(([^()\s]*)\)")
-
-
-@dataclass
-class Line:
-    """A visible line: its number in the source, its text and what is known of its place."""
-
-    no: int
-    text: str = ""
-    kind: str = "text"
-    block: int = 0
-    aside: bool = False
-    links: list[tuple[str, str]] = field(default_factory=list)
-
-    @property
-    def link_only(self) -> bool:
-        rest = self.text
-        for text, _ in self.links:
-            rest = rest.replace(text, "", 1)
-        return bool(self.links) and not re.sub(r"[\W_]", "", rest)
-
-
-def render(page: str) -> list[Line]:
-    """The visible lines of an HTML page, one for each source line that shows anything (a table row's cells are joined by ` | `)."""
-    lines: dict[int, Line] = {}
-    stack: list[tuple[str, int, bool]] = [("#page", 0, False)]
-    hidden: list[str] = []
-    kind, row, blocks, no, href, link = "text", 0, 0, 0, None, ""
-    for m in _TOKEN.finditer(page):
-        token, name = m.group(), m.group(1)
-        start, no = no, no + token.count("\n")
-        if name is None:
-            if hidden or token[:1] == "<" and token[1:2] == "!":
-                continue
-            for k, part in enumerate(token.split("\n")):
-                text = entities.unescape(part)
-                if not text.strip():
-                    if start + k in lines and part and not lines[start + k].text.endswith(" "):
-                        lines[start + k].text += " "
-                    continue
-                line = lines.setdefault(start + k, Line(start + k, "", kind, stack[-1][1], stack[-1][2]))
-                if row and line.text and line.kind == "row":
-                    line.text = line.text.rstrip() + " | "
-                    row = 0
-                line.text += _SPACES.sub(" ", text)
-                if kind != "text" and line.kind == "text":
-                    line.kind = kind
-                if href is not None:
-                    link += text
-            continue
-        name, closing = name.lower(), token[1] == "/"
-        if hidden:
-            if closing and name == hidden[-1]:
-                hidden.pop()
-            elif not closing and name == hidden[-1] and not token.endswith("/>"):
-                hidden.append(name)
-            elif name == "body":
-                hidden.clear()
-            if hidden:
-                continue
-            if name in HIDDEN:
-                continue
-        attributes = {} if closing or not m.group(2) else {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(m.group(2) or "")}
-        if not closing and (name in HIDDEN or "hidden" in attributes or _UNSEEN.search(attributes.get("style", ""))):
-            if name not in {"img", "input", "br", "hr", "meta", "link"}:
-                hidden.append(name)
-            continue
-        if name == "a":
-            if closing or href is not None:
-                if href is not None and start in lines and link.strip():
-                    lines[start].links.append((_SPACES.sub(" ", link).strip(), href))
-                href, link = None, ""
-            if not closing:
-                href, link = attributes.get("href", ""), ""
-        if name in LEAVES:
-            if closing:
-                kind = "row" if any(s[0] == "tr" for s in stack) else "text"
-            else:
-                kind = {"p": "text", "pre": "code"}.get(name, name if name[0] == "h" or name == "button" else "li" if name == "li" else "text")
-        if name in BLOCKS:
-            if closing:
-                if any(s[0] == name for s in stack):
-                    while stack.pop()[0] != name:
-                        pass
-            else:
-                if ends := IMPLIED.get(name):
-                    while stack[-1][0] in ends:
-                        stack.pop()
-                blocks += name not in {"tr", "td", "th", "tbody", "thead", "tfoot"} or (name == "td" and stack[-1][0] == "tr" and not row)
-                shows_body = stack[-1][2] is False and name in {"main", "article"}
-                marked = name in ASIDE or bool(CLASS_WORDS.search(" ".join([attributes.get("class", ""), attributes.get("id", "")])))
-                if attributes.get("role") in {"navigation", "banner", "contentinfo", "complementary"}:
-                    marked = True
-                stack.append((name, blocks, (stack[-1][2] or marked) and not shows_body))
-                if name in {"td", "th"}:
-                    row = 1
-            if not stack:
-                stack.append(("#page", 0, False))
-            kind = "row" if stack[-1][0] in {"td", "th", "tr"} else "text"
-            if name == "tr":
-                row = 0
-    for line in lines.values():
-        line.text = line.text.strip()
-    return [lines[n] for n in sorted(lines) if lines[n].text]
-
-
-def read_markdown(text: str) -> list[Line]:
-    """The lines of a page that was turned into Markdown."""
-    out = []
-    for no, raw in enumerate(text.split("\n")):
-        t = raw.strip()
-        if not t:
-            continue
-        kind = "text"
-        if t[0] == "#" and (m := _HEADING.match(t)):
-            kind, t = f"h{len(m.group(1))}", t[m.end() :]
-        elif t[0] == "*" and _BOLD.match(t):
-            kind, t = "h2", t[2:-2]
-        elif m := _ITEM.match(t):
-            kind, t = "li", t[m.end() :]
-        elif t.startswith("|"):
-            kind = "row"
-        elif raw.startswith("    ") or t.startswith("```"):
-            kind = "code"
-        links = []
-        if "[" in t or "](" in t:
-            links = _LINK.findall(t)
-            t = _LINK.sub(r"\1", t)
-            if half := _BEGUN_LINK.match(t):
-                links, t = [*links, (half.group(2), half.group(3) or "")], half.group(1) + half.group(2)
-            elif not out and (half := _ENDED_LINK.match(t)):
-                links, t = [(half.group(1), half.group(2))], half.group(1)
-        out.append(Line(no, t.strip(), kind, 0, False, links))
-    return out
+
+
+def form_of(text: str) -> str:
+    """A text with names (words with a capital inside it) and numbers evened out, in lower case."""
+    out: list[str] = []
+    for k, w in enumerate(_WORD.findall(text)):
+        w = "0" if w[0].isdigit() else "*" if k and w[0].isupper() else w.lower()
+        if not (out and w == out[-1] and w in "*0"):
+            out.append(w)
+    return " ".join(out)
+
+
+def _mark(form: str) -> int:
+    """A form's 64-bit hash; 0 for none."""
+    return xxh64_intdigest(form) - (1 << 63) if form else 0
 
 
 def _depth(href: str) -> int:
@@ -245,120 +66,151 @@ def _depth(href: str) -> int:
     return len([s for s in path.split("/") if s])
 
 
-def site_name(page: str) -> str:
-    """What the page's title has behind its last bar: the name of the site."""
-    m = re.search(r"<title[^>]*>([^<]*)", page, re.IGNORECASE)
-    parts = re.split(r"\s[|–—]\s", entities.unescape(m.group(1)).strip()) if m else []
-    return parts[-1].strip() if len(parts) > 1 else ""
-
-
-def _sentences(text: str) -> int:
-    return len(_SENTENCE_END.findall(text))
+def visible_lines(text: str | None) -> list[Line]:
+    """The visible lines of a page, be it HTML or Markdown; none for null and blank."""
+    if not text or not text.strip():
+        return []
+    return render(text) if looks_like_html(text) else read_markdown(text)
 
 
-def body_lines(lines: list[Line], site: str = "", host: str = "", longest: int = 5) -> list[Line]:
-    """The lines of the main body, in order.
+def described(text: str | None) -> tuple[int, list[tuple[int, int, int, int, int, list[int]]]]:
+    """(page, lines): the hash of what tells the page from others, and of each line number, bits, block, form, form of its first part, forms of its sentences.
 
-    What stands before the first main heading, where there is one, is the head of
-    the page. A sidebar is what follows its heading: up to `longest` lines that are
-    a link or a single sentence (the last one only a link), or all of a block that
-    the heading opens. The
-    site's name is given or told by the © line or by the host's own label.
+    A page is told by its main heading, a piece without one by its longest line, so
+    that copies and overlapping pieces count as one.
     """
-    out: list[Line] = []
-    in_sidebar, left, block = False, 0, -1
-    if any(line.kind == "h1" for line in lines):
-        lines = lines[next(i for i, line in enumerate(lines) if line.kind == "h1") :]
-    labels = set(host.casefold().split(".")) - {"www"}
-    opener: dict[int, Line] = {}
-    for line in lines:
-        opener.setdefault(line.block, line)
-    sites = {site.casefold()} if site else set()
-    for line in lines:
-        if line.text[0] == "©" and (m := _RIGHTS.match(line.text)):
-            sites.add(m.group(1).casefold())
-    for line in lines:
-        plain, low = line.text, line.text.lower().rstrip(":")
-        if in_sidebar and (line.block != block or line.kind in {"h1", "h2", "h3"}):
-            in_sidebar = False
-        heading = line.kind[0] == "h" or line.kind == "text" and opener[line.block] is line
-        if line.kind != "h1" and low in SIDEBAR and (heading or not line.links):
-            whole = line.block and opener[line.block] is line
-            in_sidebar, block, left = True, line.block, 10**9 if whole else longest
-            continue
-        words = low.split()
-        named = line.kind == "text" and len(words) <= 4 and words[0] in labels and not line.links and plain[-1] not in ".?!"
-        if line.aside or is_notice(low) or low in sites or named or line.kind == "button":
-            continue
-        if _CRUMBS.match(plain) and line.kind != "code":
-            continue
-        if line.link_only and all(_depth(h) <= 1 for _, h in line.links):
-            continue
-        if any(low.startswith(s + " ·") for s in sites) or " · " in plain and not line.links and re.search(r" · .{1,40} \S+-?\d* · \S+$", plain):
+    lines = visible_lines(text)
+    title = next((i for i, line in enumerate(lines) if line.kind == "h1"), -1)
+    sites = {site_name(text).casefold()} - {""} if lines and looks_like_html(text) else set()
+    sites |= {m.group(1).casefold() for line in lines if line.text[0] == "©" and (m := _RIGHTS.match(line.text))}
+    blocks: set[int] = set()
+    out = []
+    for i, line in enumerate(lines):
+        t, kind = line.text, line.kind
+        heading, cell, link = kind[0] == "h", kind in ("row", "code"), bool(line.links) and line.link_only
+        sentences = [] if heading or cell or link else _SENTENCE.split(t)
+        parts = _PART.split(t) if "·" in t or "|" in t else []
+        bits = HEADING * heading | TITLE * (kind == "h1") | ITEM * (kind == "li") | CELL * cell | CONTROL * (kind == "button")
+        bits |= ASIDE * line.aside | BEFORE * (i < title) | UNDER_TITLE * (title >= 0) | SHORT * (len(sentences) <= 1) | OPENER * (line.block > 0 and line.block not in blocks)
+        bits |= TRAIL * (kind != "code" and bool(_TRAIL.match(t))) | NAMED * (t.casefold() in sites or bool(parts) and parts[0].casefold() in sites)
+        if link:
+            bits |= LINK | MENU * all(_depth(h) <= 1 for _, h in line.links)
+        blocks.add(line.block)
+        whole = _mark(form_of(t))
+        of = [whole] if len(sentences) == 1 else sorted({_mark(form_of(x)) for x in sentences})
+        out.append((line.no, bits, line.block, whole, _mark(form_of(parts[0])) if len(parts) > 1 else 0, of))
+    told = lines[title].text if title >= 0 else max((line.text for line in lines), key=len, default="")
+    return _mark(told), out
+
+
+def outlines(pages: DataFrame, text: str) -> DataFrame:
+    """The other columns of `pages`, and for each text its page, no, bits, block, form and part of each line, and sentence and at (its line's place) of each sentence."""
+    others = [c for c in pages.columns if c != text]
+    added = "page bigint, no array<int>, bits array<int>, block array<int>, form array<bigint>, part array<bigint>, sentence array<bigint>, at array<int>"
+    schema = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in others] + [added])
+    names = ["page", "no", "bits", "block", "form", "part", "sentence", "at"]
+
+    def listed(rows: list[list], kind: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)], dtype=np.int32)), pa.array([x for r in rows for x in r], kind))
+
+    def described_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = [described(t) for t in batch.column(text).to_pylist()]
+            columns = [listed([[line[k] for line in lines] for _, lines in seen], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
+            columns.append(listed([[x for line in lines for x in line[5]] for _, lines in seen], pa.int64()))
+            columns.append(listed([[i for i, line in enumerate(lines) for _ in line[5]] for _, lines in seen], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array([p for p, _ in seen], pa.int64()), *columns], names=[*others, *names])
+
+    return pages.mapInArrow(described_batches, schema)
+
+
+def recurring_forms(outlined: DataFrame, scratch: Scratch, recurring: int = 10, mixed: float = 0.2, beside: float = 0.15) -> DataFrame:
+    """(form, verdict): NOTICE, OVER_SIDEBAR and OVER_TEXT of the forms that have any.
+
+    A notice's sentence stands on `recurring` different pages at least (on three,
+    where half of its places are beside the body), and in at most `mixed` different
+    lines for each place it has. A sidebar's heading has the share `beside` of its
+    places beside the body.
+    """
+    has = lambda bits, bit: bits.bitwiseAND(F.lit(bit)) != 0
+    headings = F.transform(F.filter(F.arrays_zip("form", "bits"), lambda x: has(x.bits, HEADING)), lambda x: F.struct(x.form.alias("form"), x.bits.alias("bits")))
+    sentences = F.transform(F.arrays_zip("sentence", "at"), lambda x: F.struct(x.sentence.alias("form"), F.get("bits", x["at"]).alias("bits")))
+    each = outlined.select("page", F.explode(F.concat(headings, sentences)).alias("x")).select("page", "x.form", "x.bits").where("form <> 0")
+    heading, known, off = has(F.col("bits"), HEADING), has(F.col("bits"), UNDER_TITLE), has(F.col("bits"), UNDER_TITLE) & has(F.col("bits"), ASIDE | BEFORE)
+    counted = {"n": ~heading, "known": ~heading & known, "off": ~heading & off, "h": heading, "h_known": heading & known, "h_off": heading & off}
+    by_page = each.groupBy("form", "page").agg(*[F.count_if(c).alias(n) for n, c in counted.items()])
+    seen = by_page.groupBy("form").agg(F.count_if(F.col("n") > 0).alias("pages"), F.count_if(F.col("h") > 0).alias("h_pages"), *[F.sum(n).alias(n) for n in counted])
+    seen = scratch.keep(seen.where("pages >= 3 or h_pages >= 3"))
+    often = scratch.keep(seen.where((F.col("pages") >= recurring) | (F.col("pages") >= 3) & (F.col("known") >= 3) & (F.col("off") >= 0.5 * F.col("known"))).select("form", "n"))
+    few = often.count() < 200_000
+    lines = outlined.select(F.explode(F.transform(F.arrays_zip("sentence", "at"), lambda x: F.struct(x.sentence.alias("form"), F.get("form", x["at"]).alias("line")))).alias("x")).select("x.form", "x.line")
+    in_lines = lines.join(F.broadcast(often) if few else often, "form").groupBy("form", "line").agg(F.min("n").alias("n"))
+    fixed = in_lines.groupBy("form").agg(F.count("*").alias("lines"), F.min("n").alias("of")).where(F.col("lines") <= mixed * F.col("of")).select("form", F.lit(NOTICE).alias("notice"))
+    over_sidebar = F.when((F.col("h_known") >= 3) & (F.col("h_off") >= beside * F.col("h_known")), OVER_SIDEBAR).otherwise(0)
+    over_text = F.when((F.col("h_pages") >= 3) & (F.col("h") * 10 >= F.col("n")), OVER_TEXT).otherwise(0)
+    judged = seen.join(fixed, "form", "left").select("form", (F.coalesce("notice", F.lit(0)) + over_sidebar + over_text).alias("verdict"))
+    return scratch.keep(judged.where("verdict > 0"))
+
+
+def body_of(no: list[int], bits: list[int], block: list[int], form: list[int], part: list[int], sentence: list[int], at: list[int], verdict: dict[int, int]) -> list[int]:
+    """The numbers of the lines of the main body, in order.
+
+    What stands before the main heading is the head of the page. Under the heading of
+    a sidebar, all of the block that the heading opens goes with it; else what follows
+    up to the next heading or the first paragraph of several sentences, table or code.
+    """
+    out: list[int] = []
+    noticed = {i for f, i in zip(sentence, at) if verdict.get(f, 0) & NOTICE}
+    side, within = False, 0
+    for i, (n, b, k, f, p) in enumerate(zip(no, bits, block, form, part)):
+        if b & (BEFORE | ASIDE | CONTROL):
             continue
-        if in_sidebar:
-            if left > 0 and (line.link_only or left > 1 and line.kind in {"text", "li"} and _sentences(plain) <= 1 and not (line.kind == "li" and not line.links)):
-                left -= 1
+        v = verdict.get(f, 0)
+        heading = b & HEADING or v & OVER_TEXT and not b & (LINK | CELL)
+        if heading:
+            side, within = bool(v & OVER_SIDEBAR) and not b & TITLE, k if b & OPENER else 0
+            if side:
                 continue
-            in_sidebar = left > 10**6
-            if in_sidebar:
+        elif side:
+            if within == k if within else b & LINK or b & SHORT and not b & CELL and not (b & ITEM and not b & LINK):
                 continue
-        out.append(line)
-    return out
-
-
-def as_text(lines: list[Line]) -> str:
-    """Rendered text: headings and blocks apart, list items marked, cells of neighbouring rows aligned."""
-    out: list[str] = []
-    i = 0
-    while i < len(lines):
-        line = lines[i]
-        if line.kind == "row":
-            rows = []
-            while i < len(lines) and lines[i].kind == "row":
-                rows.append([c.strip() for c in lines[i].text.strip("| ").split("|")])
-                i += 1
-            widths = [max(len(r[k]) for r in rows if k < len(r)) for k in range(max(map(len, rows)))]
-            out.append("\n".join(" | ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in rows))
+            side = False
+        if b & (TRAIL | MENU | NAMED) or i in noticed and not heading or p and verdict.get(p, 0) & NOTICE and not b & (CELL | HEADING):
             continue
-        items = line.kind == "li" and i and lines[i - 1].kind == "li"
-        text = "- " + line.text if line.kind == "li" else "#" * int(line.kind[1]) + " " + line.text if re.match(r"h\d", line.kind) else line.text
-        if items:
-            out[-1] += "\n" + text
-        else:
-            out.append(text)
-        i += 1
-    return "\n\n".join(out)
-
-
-def looks_like_html(text: str) -> bool:
-    return bool(re.search(r"<(?:!doctype|html|body|div|p|table|main)\b", text, re.IGNORECASE))
-
+        out.append(n)
+    return out
 
-def main_body(text: str | None, host: str | None = None) -> list[Line]:
-    """The body lines of a page, be it HTML or Markdown; none for null and blank."""
-    if not text or not text.strip():
-        return []
-    if looks_like_html(text):
-        return body_lines(render(text), site_name(text), host or "")
-    return body_lines(read_markdown(text), "", host or "")
 
+def bodies(pages: DataFrame, keys: list[str], text: str = "text", recurring: int = 10) -> DataFrame:
+    """(keys, lines): the numbers (from 0) of the lines of each page's main body.
 
-def body_line_numbers(text: Column, host: Column) -> Column:
-    """ARRAY<INT> of the numbers (from 0) of the lines that belong to the main body; empty for null, blank and bodiless texts."""
+    `keys` tell the pages apart; of repeated keys one row counts. Null, blank and
+    bodiless texts give an empty list; other columns are not read. An empty table
+    gives an empty result.
+    """
+    scratch = Scratch(pages.sparkSession, "bodies")
+    parts = ["no", "bits", "block", "form", "part", "sentence", "at"]
+    outlined = outlines(pages.select(*keys, F.col(text).alias("text_")), "text_")
+    outlined = scratch.keep(outlined.groupBy(*keys).agg(F.max(F.struct("page", *parts)).alias("o")).select(*keys, "o.*"))
+    forms = recurring_forms(outlined, scratch, recurring)
+    # Forms that recur are few against lines: the size is checked before they are sent to all.
+    forms = F.broadcast(forms) if forms.count() < 200_000 else forms
+    asked = outlined.select(*keys, F.explode(F.array_distinct(F.concat("form", "part", "sentence"))).alias("form"))
+    told = asked.join(forms, "form").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("form", "verdict"))).alias("verdict"))
 
     @F.pandas_udf("array<int>")
-    def numbers(texts: pd.Series, hosts: pd.Series) -> pd.Series:
-        return pd.Series([[line.no for line in main_body(t, h)] for t, h in zip(texts, hosts)], dtype=object)
+    def chosen(no: pd.Series, bits: pd.Series, block: pd.Series, form: pd.Series, part: pd.Series, sentence: pd.Series, at: pd.Series, verdict: pd.Series) -> pd.Series:
+        rows = zip(no, bits, block, form, part, sentence, at, verdict)
+        return pd.Series([body_of(*[x.tolist() for x in r[:7]], dict(r[7]) if r[7] is not None else {}) for r in rows], dtype=object)
 
-    return numbers(text, host)
+    return outlined.join(told, keys, "left").select(*keys, chosen(*parts, "verdict").alias("lines"))
 
 
-def body_text(text: Column, host: Column) -> Column:
-    """The rendered main body of each text, '' where there is none."""
+def body_text(text: Column, lines: Column) -> Column:
+    """The rendered main body of each text, given the numbers of its lines; '' where there is none."""
 
     @F.pandas_udf("string")
-    def bodies(texts: pd.Series, hosts: pd.Series) -> pd.Series:
-        return pd.Series([as_text(main_body(t, h)) for t, h in zip(texts, hosts)], dtype=object)
+    def rendered(texts: pd.Series, numbers: pd.Series) -> pd.Series:
+        return pd.Series([as_text([line for line in visible_lines(t) if line.no in kept]) for t, kept in zip(texts, (set(n) if n is not None else set() for n in numbers))], dtype=object)
 
-    return bodies(text, host)
+    return rendered(text, lines)

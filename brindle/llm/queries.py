@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import boilerplate, leakage, pairs, subjects, tokenization, truncation
@@ -36,32 +36,24 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _host(url: str) -> Column:
-    return F.regexp_extract(url, r"^\w+://([^/:?#]+)", 1)
+def _shown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(origin, record_key, text) of every fetched page and every page text given to a model."""
+    pages = table(spark, sf_dir, "pages").where("ok").select(F.lit("pages").alias("origin"), F.col("page_id").cast("string").alias("record_key"), F.col("html").alias("text"))
+    calls = _calls(spark, sf_dir).where("chunk_preview <> ''")
+    given = calls.select(F.lit("event_log").alias("origin"), F.concat_ws("/", "run_id", F.col("id").cast("string")).alias("record_key"), F.col("chunk_preview").alias("text"))
+    return spread(pages, "record_key").unionByName(spread(given, "record_key"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of the main body in every fetched page and every page text given to a model."""
-    pages = spread(table(spark, sf_dir, "pages").where("ok").select("page_id", "url", "html"), "page_id")
-    from_pages = pages.select(
-        F.lit("pages").alias("origin"),
-        F.col("page_id").cast("string").alias("record_key"),
-        boilerplate.body_line_numbers(F.col("html"), _host("url")).alias("lines"),
-    )
-    calls = spread(_calls(spark, sf_dir).where("chunk_preview <> ''").select("run_id", "id", "source", "chunk_preview"), "run_id", "id")
-    from_calls = (
-        calls.select("run_id", "id", boilerplate.body_line_numbers(F.col("chunk_preview"), F.col("source")).alias("lines"))
-        .groupBy("run_id", "id")
-        .agg(F.max("lines").alias("lines"))
-        .select(F.lit("event_log").alias("origin"), F.concat_ws("/", "run_id", F.col("id").cast("string")).alias("record_key"), "lines")
-    )
-    return from_pages.unionByName(from_calls).select("origin", "record_key", F.explode("lines").alias("line_no"))
+    return boilerplate.bodies(_shown_texts(spark, sf_dir), ["origin", "record_key"]).select("origin", "record_key", F.explode("lines").alias("line_no"))
 
 
 def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rendered main body of every fetched page."""
-    pages = spread(table(spark, sf_dir, "pages").where("ok").select("page_id", "url", "html"), "page_id")
-    return pages.select("page_id", boilerplate.body_text(F.col("html"), _host("url")).alias("body"))
+    """The rendered main body of every fetched page; what recurs is counted over all pages and page texts."""
+    found = boilerplate.bodies(_shown_texts(spark, sf_dir), ["origin", "record_key"]).where("origin = 'pages'").select(F.col("record_key").cast("long").alias("page_id"), "lines")
+    pages = table(spark, sf_dir, "pages").where("ok").select("page_id", "html")
+    return pages.join(found, "page_id").select("page_id", boilerplate.body_text(F.col("html"), F.col("lines")).alias("body"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
