@@ -3,114 +3,110 @@
 Each JSON object is flattened into its fields (paths to values), and each file's
 schema is what most of its objects hold. The schema of a file is compared with that
 of the file before: fields that only one of the two has are added or removed, fields
-whose type differs are retyped. Renames are found by similarity flooding: pairs of a
-removed and an added field that agree in the values of the same records, with the
-pairs of the objects they are nested in, form a graph; match scores start from the
-names' likeness and the agreement of the values and flow along nesting until they
-settle; a pair that is the best one for both its fields is a rename.
-
-The work is joins and aggregations over (source, file, path), with the values'
+whose type differs are retyped. Renames are found by similarity flooding. The graph
+of a file pair has the pairs of removed and added fields that hold equal values for
+the same records, the unchanged fields as anchors, the pairs of objects they are
+nested in up to the roots, and the pairs of their types. Scores start from the names'
+likeness and the values' agreement and flow between a pair and what it is nested in
+and typed as until they settle; the pairs are then chosen by their scores, best first.
+
+The work on rows is joins and aggregations over (source, file, path), with the values'
 fingerprints as join keys; candidate pairs come only from equal fingerprints of the
 same record, never from all pairs of fields. Sums are pre-aggregated before a
-shuffle, so a source that holds a third of all rows is no hot spot.
+shuffle, so a source that holds a third of all rows is no hot spot. What is flooded is
+a graph of fields: a file's schema has less than twice the fields of an average row.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
-from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
 
 from brindle.sources.scratch import Scratch
 
 _KINDS = {str: "string", int: "number", float: "number", bool: "boolean", dict: "object", list: "array"}
+KINDS = ["array", "boolean", "number", "object", "string"]
+_PLACE = {t: KINDS.index(k) for t, k in _KINDS.items()}
 #: A JSON number, zeros before it left out.
 _NUMBER = re.compile(r"(-?)0*([0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)")
-_FIELD = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("held", T.LongType()),
-        *[T.StructField(k, T.LongType()) for k in ("array", "boolean", "number", "object", "string")],
-        T.StructField("print", T.StringType()),
-        T.StructField("value", T.StringType()),
-    ]
-)
-_FLAT = T.StructType(
-    [
-        T.StructField("readable", T.BooleanType()),
-        T.StructField("fields", T.ArrayType(_FIELD)),
-        T.StructField("lists", T.MapType(T.StringType(), T.LongType())),
-    ]
-)
-
-
-def _walk(value: dict, prefix: str, whole: set[str], out: dict[str, list], lists: Counter) -> None:
+
+
+def _walk(value: dict, prefix: str, whole: set[str], out: dict[str, list], lists: dict[str, int]) -> None:
     for key, v in value.items():
         path = f"{prefix}.{key}" if prefix else key
-        if path not in whole and isinstance(v, dict):
+        if isinstance(v, dict) and path not in whole:
             _walk(v, path, whole, out, lists)
-        elif path not in whole and isinstance(v, list) and v and all(isinstance(e, dict) for e in v):
-            lists[path + "[]"] += len(v)
+        elif isinstance(v, list) and v and path not in whole and all(isinstance(e, dict) for e in v):
+            lists[path + "[]"] = lists.get(path + "[]", 0) + len(v)
             for e in v:
                 _walk(e, path + "[]", whole, out, lists)
+        elif path in out:
+            out[path].append(v)
         else:
-            out.setdefault(path, []).append(v)
+            out[path] = [v]
 
 
-def flatten_one(text: str | None, whole: set[str]) -> tuple[bool, list[tuple], dict[str, int]]:
-    """(readable, fields, lists) of one JSON text.
+def _plain(v) -> str:
+    """A value's text, the same for a number and its text."""
+    kind = type(v)
+    return v if kind is str else str(v) if kind is int else json.dumps(v, sort_keys=True, ensure_ascii=False)
+
+
+def flatten_one(text: str | None, whole: set[str], texts: bool = True) -> list[tuple]:
+    """(path, held, counts of the kinds, print, value) of every field of one JSON text; nothing for a text that is no JSON object.
 
     A field is a path to a value that isn't a plain object or a list of objects;
     inside a list it holds once for each element. `whole` names objects that are
-    single fields. Anything but a JSON object is unreadable. A field's fingerprint
-    is the same for a number and its text.
+    single fields. A field's print is the same for a number and its text, null for
+    nulls only; its value is JSON text, left out without `texts`. The path '' stands
+    for the object itself, a path that ends with `[]` for the elements of a list.
     """
     try:
         parsed = json.loads(text) if text else None
     except (ValueError, RecursionError):
         parsed = None
     if not isinstance(parsed, dict):
-        return False, [], {}
+        return []
     out: dict[str, list] = {}
-    lists: Counter = Counter()
+    lists: dict[str, int] = {}
     _walk(parsed, "", whole, out, lists)
-    fields = []
+    none = (0, 0, 0, 0, 0)
+    fields = [("", 1, *none, None, None), *[(path, n, *none, None, None) for path, n in lists.items()]]
     for path, values in out.items():
-        kinds = Counter(_KINDS[type(v)] for v in values if v is not None)
-        plain = [v if isinstance(v, str) else json.dumps(v, sort_keys=True, ensure_ascii=False) for v in values]
-        mark = None if not kinds else hashlib.blake2b("\x1f".join(plain).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
-        text_of = json.dumps(values if "[]" in path else values[0], sort_keys=True, ensure_ascii=False)
-        fields.append((path, len(values), *[kinds[k] for k in _FIELD.names[2:7]], mark, text_of.encode("utf-8", "replace").decode()))
-    return True, fields, dict(lists)
-
-
-def flatten(text: Column, whole: set[str]) -> Column:
-    @F.pandas_udf(_FLAT)
-    def flat(texts: pd.Series) -> pd.DataFrame:
-        rows = [flatten_one(t, whole) for t in texts]
-        return pd.DataFrame(
-            {
-                "readable": [r[0] for r in rows],
-                "fields": [[dict(zip(_FIELD.names, f)) for f in r[1]] for r in rows],
-                "lists": [r[2] for r in rows],
-            }
-        )
-
-    return flat(text)
-
-
-def flattened(rows: DataFrame, text: str, origin: str, seq: str, key: str, order: str, whole: set[str]) -> DataFrame:
-    """(origin, seq, key, order, flat) of the rows whose JSON text is an object."""
-    named = rows.select(
-        F.col(origin).alias("origin"), F.col(seq).alias("seq"), F.col(key).alias("key"), F.col(order).alias("order"), flatten(F.col(text), whole).alias("flat")
-    )
-    return named.where("flat.readable")
+        counts = [0, 0, 0, 0, 0]
+        for v in values:
+            if v is not None:
+                counts[_PLACE[type(v)]] += 1
+        mark = xxh64_intdigest("\x1f".join(map(_plain, values)).encode("utf-8", "surrogatepass")) - (1 << 63) if any(counts) else None
+        told = json.dumps(values if "[]" in path else values[0], sort_keys=True, ensure_ascii=False).encode("utf-8", "replace").decode() if texts else None
+        fields.append((path.encode("utf-8", "replace").decode(), len(values), *counts, mark, told))
+    return fields
+
+
+def flattened(rows: DataFrame, text: str, origin: str, seq: str, key: str, order: str, whole: set[str], texts: bool = True) -> DataFrame:
+    """(origin, seq, key, order) of the rows whose JSON text is an object, with a row for each path: path, held, a count for each kind, print, value."""
+    named = rows.select(F.col(origin).alias("origin"), F.col(seq).alias("seq"), F.col(key).alias("key"), F.col(order).alias("order"), F.col(text).alias("text"))
+    kept = ["origin", "seq", "key", "order"]
+    types = [pa.string(), *[pa.int64()] * 6, pa.int64(), pa.string()]
+    names = ["path", "held", *KINDS, "print", "value"]
+    schema = ", ".join([f"{c} {named.schema[c].dataType.simpleString()}" for c in kept] + ["path string, held bigint", *[f"{k} bigint" for k in KINDS], "print bigint, value string"])
+
+    def fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [flatten_one(t, whole, texts) for t in batch.column("text").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            columns = list(zip(*[f for fs in found for f in fs])) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in kept], *[pa.array(c, t) for c, t in zip(columns, types)]], names=[*kept, *names])
+
+    return named.mapInArrow(fields, schema)
 
 
 def file_schemas(flat: DataFrame) -> DataFrame:
@@ -119,98 +115,110 @@ def file_schemas(flat: DataFrame) -> DataFrame:
     The type is the most frequent one of the non-null values, the first by name of
     equally frequent ones, null if all values are null.
     """
-    files = flat.groupBy("origin", "seq").agg(F.count("*").alias("objects"))
-    elements = (
-        flat.select("origin", "seq", F.explode("flat.lists").alias("list", "n")).groupBy("origin", "seq", "list").agg(F.sum("n").alias("elements"))
-    )
-    kinds = _FIELD.names[2:7]
-    fields = (
-        flat.select("origin", "seq", F.explode("flat.fields").alias("f"))
-        .groupBy("origin", "seq", F.col("f.path").alias("path"))
-        .agg(F.sum("f.held").alias("held"), *[F.sum(f"f.{k}").alias(k) for k in kinds])
-        .withColumn("list", F.regexp_extract("path", r"^(.*\[\])", 1))
-    )
+    held = flat.groupBy("origin", "seq", "path").agg(*[F.sum(c).alias(c) for c in ("held", *KINDS)])
+    objects = held.where("path = '' or path like '%[]'").select("origin", "seq", F.col("path").alias("around"), F.col("held").alias("all"))
+    fields = held.where("path <> '' and path not like '%[]'").withColumn("around", F.regexp_extract("path", r"^(.*\[\])", 1))
+    kinds = KINDS
     most = F.greatest(*kinds)
     kind = F.coalesce(*[F.when((F.col(k) == most) & (most > 0), F.lit(k)) for k in kinds])
-    return (
-        fields.join(files, ["origin", "seq"])
-        .join(elements, ["origin", "seq", "list"], "left")
-        .where(F.col("held") * 2 > F.when(F.col("list") == "", F.col("objects")).otherwise(F.col("elements")))
-        .select("origin", "seq", "path", kind.alias("type"))
-    )
-
+    return fields.join(objects, ["origin", "seq", "around"]).where(F.col("held") * 2 > F.col("all")).select("origin", "seq", "path", kind.alias("type"))
 
-def _name(path: Column) -> Column:
-    """A field's own name, for comparing: lower case without separators."""
-    return F.regexp_replace(F.lower(F.regexp_extract(path, r"([^.]*)$", 1)), r"[\[\]_\- ]", "")
 
+def _parent(path: str) -> str:
+    return path.rpartition(".")[0]
 
-def _parent(path: Column) -> Column:
-    return F.regexp_replace(path, r"(^|\.)[^.]*$", "")
 
+def likeness(a: str, b: str) -> float:
+    """How like two fields' own names are, without case and separators: 1 less the edits for each character."""
+    a, b = (re.sub(r"[\[\]_\- ]", "", p.rpartition(".")[2].lower()) for p in (a, b))
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return 1 - row[-1] / max(len(a), len(b), 1)
 
-def _likeness(a: Column, b: Column) -> Column:
-    longest = F.greatest(F.length(a), F.length(b), F.lit(1))
-    return 1 - F.levenshtein(a, b) / longest
 
+def settled_scores(start: np.ndarray, inner: np.ndarray, outer: np.ndarray, flow: float = 1.0, change: float = 1e-6, rounds: int = 10_000) -> np.ndarray:
+    """The scores of a graph's nodes after flooding: edges lead from node `inner` to the node `outer` that it is nested in or typed as.
 
-def flood(candidates: DataFrame, scratch: Scratch, rounds: int = 8, settled: float = 0.01) -> DataFrame:
-    """(origin, seq, old, new, agreement, score): match scores of the candidate pairs, spread over nesting until they settle.
-
-    The graph of a file pair has the candidate pairs and, up to the roots, the pairs
-    of what they are nested in. In each round a pair takes in its parent pair's
-    score, shared among the parent's pairs, and its child pairs' scores, averaged;
-    the scores of a file pair are then scaled to a maximum of 1.
+    In each round a node takes in what it had at first, its score, the scores of the
+    nodes it stands in and the mean score of the nodes that stand in it; all are then
+    scaled to a maximum of 1. It ends when no score changes by more than `change`; a
+    graph that doesn't settle within `rounds` is an error.
     """
-    base = candidates.select("origin", "seq", "old", "new", (0.5 * _likeness(_name(F.col("old")), _name(F.col("new"))) + 0.5 * F.col("agreement")).alias("start"))
-    nodes, level = base, base
-    for _ in range(4):  # the nesting above the candidates
-        level = (
-            level.where("old <> '' or new <> ''")
-            .select("origin", "seq", _parent(F.col("old")).alias("old"), _parent(F.col("new")).alias("new"))
-            .distinct()
-            .withColumn("start", F.when(F.col("old") == F.col("new"), 1.0).otherwise(0.5 * _likeness(_name(F.col("old")), _name(F.col("new")))))
-        )
-        nodes = nodes.unionByName(level)
-    nodes = scratch.keep(
-        nodes.groupBy("origin", "seq", "old", "new").agg(F.max("start").alias("start")).withColumns({"up_old": _parent(F.col("old")), "up_new": _parent(F.col("new"))})
-    )
-    scores = nodes.withColumn("score", F.col("start"))
-    family = Window.partitionBy("origin", "seq")
+    members = np.maximum(np.bincount(outer, minlength=len(start)), 1)
+    scores = start.copy()
     for _ in range(rounds):
-        up = scores.select("origin", "seq", F.col("old").alias("up_old"), F.col("new").alias("up_new"), F.col("score").alias("up"))
-        inner = scores.where("old <> '' or new <> ''")
-        shared = inner.groupBy("origin", "seq", "up_old", "up_new").agg(F.count("*").alias("children"), F.avg("score").alias("down"))
-        from_parent = shared.join(up, ["origin", "seq", "up_old", "up_new"]).select("origin", "seq", "up_old", "up_new", (F.col("up") / F.col("children")).alias("up"))
-        from_children = shared.select("origin", "seq", F.col("up_old").alias("old"), F.col("up_new").alias("new"), "down")
-        raw = (
-            scores.join(from_parent, ["origin", "seq", "up_old", "up_new"], "left")
-            .join(from_children, ["origin", "seq", "old", "new"], "left")
-            .withColumn("raw", F.col("start") + F.col("score") + F.coalesce("up", F.lit(0.0)) + F.coalesce("down", F.lit(0.0)))
-        )
-        after = scratch.keep(raw.select(*nodes.columns, F.col("score").alias("before"), (F.col("raw") / F.max("raw").over(family)).alias("score")))
-        moved = after.agg(F.max(F.abs(F.col("score") - F.col("before")))).first()[0]
-        scores = after.drop("before")
-        if moved is None or moved < settled:
-            break
-    return candidates.join(scores.select("origin", "seq", "old", "new", "score"), ["origin", "seq", "old", "new"])
+        whole = start + scores
+        taken = np.bincount(inner, weights=whole[outer], minlength=len(start)) + np.bincount(outer, weights=whole[inner], minlength=len(start)) / members
+        after = whole + flow * taken
+        after /= max(after.max(initial=0.0), 1e-12)
+        if np.abs(after - scores).max(initial=0.0) <= change:
+            return after
+        scores = after
+    raise RuntimeError(f"similarity flooding of {len(start)} pairs hasn't settled in {rounds} rounds")
+
+
+def correspondences(pairs: pd.DataFrame, flow: float = 1.0) -> pd.DataFrame:
+    """(origin, seq, old, new) of the renames of one file pair: the best pairs by flooded score, each field once.
+
+    `pairs` has the columns old, new, old_type, new_type and agreement: candidate
+    pairs, and the unchanged fields (old = new) as anchors. Of equal scores the higher
+    agreement, then the first by name goes first.
+    """
+    start: dict[tuple[str, str], float] = {}
+    edges: set[tuple[tuple[str, str], tuple[str, str]]] = set()
+    level = []
+    for old, new, agreement, old_type, new_type in zip(pairs.old, pairs.new, pairs.agreement, pairs.old_type, pairs.new_type):
+        start[old, new] = 1.0 if old == new else 0.5 * likeness(old, new) + 0.5 * agreement
+        kinds = (f"\0{old_type}", f"\0{new_type}")
+        start[kinds] = float(old_type == new_type)
+        edges.add(((old, new), kinds))
+        level.append((old, new))
+    while level:  # up to the roots
+        above = []
+        for old, new in level:
+            if old or new:
+                up = (_parent(old), _parent(new))
+                edges.add(((old, new), up))
+                if up not in start:
+                    start[up] = 1.0 if up[0] == up[1] else 0.5 * likeness(*up)
+                    above.append(up)
+        level = above
+    place = {p: i for i, p in enumerate(start)}
+    inner, outer = (np.array([place[e[k]] for e in edges], dtype=np.int64) for k in (0, 1))
+    scores = settled_scores(np.array(list(start.values())), inner, outer, flow)
+    changed = pairs[pairs.old != pairs.new]
+    ranked = sorted(zip(changed.old, changed.new, changed.agreement), key=lambda p: (-round(scores[place[p[0], p[1]]], 6), -p[2], p[0], p[1]))
+    gone: set[str] = set()
+    come: set[str] = set()
+    chosen = []
+    for old, new, _ in ranked:
+        if old not in gone and new not in come:
+            gone.add(old)
+            come.add(new)
+            chosen.append((old, new))
+    out = pd.DataFrame(chosen, columns=["old", "new"])
+    return out.assign(origin=pairs.origin.iloc[0], seq=pairs.seq.iloc[0])[["origin", "seq", "old", "new"]]
 
 
 def changes(
     rows: DataFrame, text: str = "structural_summary", origin: str = "origin", seq: str = "file_seq", key: str = "url",
-    order: str = "id", whole: tuple[str, ...] = (), agree: float = 0.5,
+    order: str = "id", whole: tuple[str, ...] = (), agree: float = 0.5, flow: float = 1.0,
 ) -> DataFrame:
     """(origin, seq, field, change, new_field): the changes of each file against the file before it of the same origin.
 
     change is added, removed, renamed or retyped; new_field is '' but for renamed. A
     rename needs the same values in at least the share `agree` of the records that
     both files hold, by `key`; of two rows of one record in a file the one with the
-    higher `order` holds. Rows with a null origin, file or text and texts that are
+    higher `order` holds. `flow` is how much of the neighbours' scores a pair takes in.
+    Rows with a null origin, file or text and texts that are
     no JSON objects are left out; a file without any readable text is passed over.
     An empty table gives an empty result.
     """
     scratch = Scratch(rows.sparkSession, "drift")
-    flat = scratch.keep(flattened(rows.where(F.col(origin).isNotNull() & F.col(seq).isNotNull()), text, origin, seq, key, order, set(whole)))
+    flat = scratch.keep(flattened(rows.where(F.col(origin).isNotNull() & F.col(seq).isNotNull()), text, origin, seq, key, order, set(whole), texts=False))
     schema = scratch.keep(file_schemas(flat))
     files = schema.select("origin", "seq").distinct()
     follows = scratch.keep(files.withColumn("before", F.lag("seq").over(Window.partitionBy("origin").orderBy("seq"))).where("before is not null"))
@@ -221,9 +229,8 @@ def changes(
     removed = both.where("is is null").select("origin", "seq", "path")
     added = both.where("was is null").select("origin", "seq", "path")
 
-    values = flat.select("origin", "seq", "key", "order", F.explode("flat.fields").alias("f")).where("key is not null and f.print is not null")
-    values = values.select("origin", "seq", "key", "order", F.col("f.path").alias("path"), F.col("f.print").alias("print"))
-    held = flat.where("key is not null").select("origin", "seq", "key").distinct()
+    values = flat.where("key is not null and print is not null").select("origin", "seq", "key", "order", "path", "print")
+    held = flat.where("path = '' and key is not null").select("origin", "seq", "key").distinct()
     held_before = held.withColumnRenamed("seq", "before").join(follows, ["origin", "before"]).select("origin", "seq", "key")
 
     def latest(df: DataFrame) -> DataFrame:
@@ -244,15 +251,16 @@ def changes(
         .where(F.col("agreement") >= agree)
         .select("origin", "seq", "old", "new", "agreement")
     )
-    scored = flood(candidates, scratch) if candidates.take(1) else candidates.withColumn("score", F.lit(0.0))
-    best = [F.col("score").desc(), F.col("agreement").desc(), "old", "new"]
-    renamed = (
-        scored.withColumn("a", F.row_number().over(Window.partitionBy("origin", "seq", "old").orderBy(*best)))
-        .withColumn("b", F.row_number().over(Window.partitionBy("origin", "seq", "new").orderBy(*best)))
-        .where("a = 1 and b = 1")
-        .select("origin", "seq", "old", "new")
+    typed = both.select("origin", "seq", "path", F.coalesce("type", "old_type").alias("type"), "old_type", "was", "is")
+    with_types = candidates.join(typed.select("origin", "seq", F.col("path").alias("old"), "old_type"), ["origin", "seq", "old"]).join(
+        typed.select("origin", "seq", F.col("path").alias("new"), F.col("type").alias("new_type")), ["origin", "seq", "new"]
     )
-    renamed = scratch.keep(renamed)
+    anchors = typed.where("was and is").join(candidates.select("origin", "seq").distinct(), ["origin", "seq"], "left_semi")
+    graph = with_types.select("origin", "seq", "old", "new", "agreement", "old_type", "new_type").unionByName(
+        anchors.select("origin", "seq", F.col("path").alias("old"), F.col("path").alias("new"), F.lit(1.0).alias("agreement"), "old_type", F.col("type").alias("new_type"))
+    )
+    names = ", ".join(f"{c} {graph.schema[c].dataType.simpleString()}" for c in ("origin", "seq", "old", "new"))
+    renamed = scratch.keep(graph.groupBy("origin", "seq").applyInPandas(lambda pairs: correspondences(pairs, flow), names))
     none = F.lit("")
     return (
         renamed.select("origin", "seq", F.col("old").alias("field"), F.lit("renamed").alias("change"), F.col("new").alias("new_field"))
@@ -268,12 +276,13 @@ def changes(
     )
 
 
-def canonical_names(found: DataFrame, scratch: Scratch, steps: int = 6) -> DataFrame:
+def canonical_names(found: DataFrame, scratch: Scratch) -> DataFrame:
     """(path, name): for each field that came by a rename the name it had first, over all origins.
 
     Of several names before a rename the most frequent one holds (the first by name
     of equally frequent ones); of two names that replace each other the one that more
-    often comes first does; chains of up to 2^`steps` renames are followed.
+    often comes first does. Chains are followed to their ends, of names that replace
+    one another in a circle the first by name is kept.
     """
     edges = found.where("change = 'renamed'").groupBy("field", "new_field").agg(F.count("*").alias("n"))
     first = edges.groupBy(F.col("new_field").alias("path")).agg(F.max_by("field", F.struct("n", F.col("field"))).alias("name"))
@@ -282,11 +291,18 @@ def canonical_names(found: DataFrame, scratch: Scratch, steps: int = 6) -> DataF
     links = first.join(n_of, ["path", "name"]).join(back, ["path", "name"], "left")
     # Two names that replace each other: the rarer direction is dropped.
     links = links.where("back is null or n > back or (n = back and name < path)").select("path", "name")
-    links = scratch.keep(links)
-    for _ in range(steps):
-        up = links.select(F.col("path").alias("name"), F.col("name").alias("higher"))
-        links = scratch.keep(links.join(up, "name", "left").select("path", F.when(F.col("higher") != F.col("path"), F.col("higher")).otherwise(F.col("name")).alias("name")))
-    return links
+    links = scratch.keep(links.withColumn("least", F.col("name")))
+    # The way up doubles in each round, so that it is at the end of every chain after as many rounds as the number of links has bits.
+    for _ in range(links.count().bit_length()):
+        up = links.select(F.col("path").alias("name"), F.col("name").alias("higher"), F.col("least").alias("least_up"))
+        met = links.join(up, "name", "left").select("path", F.coalesce("higher", "name").alias("name"), F.least("least", F.coalesce("least_up", "least")).alias("least"), (F.col("higher") != F.col("name")).alias("moved"))
+        met = scratch.keep(met)
+        links = met.drop("moved")
+        if not met.where("moved").take(1):
+            break
+    # A name that still has a way up lies in a circle.
+    circles = links.select(F.col("path").alias("name"), F.col("least").alias("first"))
+    return links.drop("least").join(circles, "name", "left").select("path", F.coalesce("first", "name").alias("name")).where("path <> name")
 
 
 def cast_text(value: str, kind: str, listed: bool = False) -> str:
@@ -324,8 +340,8 @@ def consistent_table(rows: DataFrame, found: DataFrame, text: str, origin: str,
     scratch = Scratch(rows.sparkSession, "drift-table")
     names = canonical_names(found, scratch)
     flat = flattened(rows, text, origin, seq, key, order, set(whole))
-    kinds = _FIELD.names[2:7]
-    values = flat.select("order", "origin", "seq", "key", F.explode("flat.fields").alias("f")).select("order", "origin", "seq", "key", F.col("f.path").alias("path"), *[f"f.{k}" for k in kinds], "f.value")
+    kinds = KINDS
+    values = flat.where("value is not null").select("order", "origin", "seq", "key", "path", *kinds, "value")
     named = values.join(F.broadcast(names) if names.count() < 100_000 else names, "path", "left").withColumn("field", F.coalesce("name", "path")).withColumn("path_listed", F.col("path").contains("[]")).drop("name", "path")
     named = scratch.keep(named)
     most = F.greatest(*kinds)
