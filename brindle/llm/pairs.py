@@ -1,10 +1,13 @@
 """Broken pairs of prompt and response, each with the kind of its defect.
 
-Refusals are told by recurrence: the openings of all responses, freed from their
-wrapping, are clustered by verified MinHash, and a cluster whose members decline in
-the first person, or decline at all and recur under unrelated prompts, is a refusal
-with all its variants. Empty shells, copies of the prompt, answers in another
-language and cut answers are told pair by pair.
+Refusals are told by recurrence, without any list of phrases: the openings of all
+responses, freed from their wrapping, are clustered by their verified shingles. An
+answer says something on its prompt, so its opening comes with other values and
+statements, or under prompts of one task only. A cluster whose responses are nearly
+all bare (one running text and nothing else, in any wrapping), and that recurs under
+unrelated prompts and in different tasks, is a template of refusal with all its
+variants. Empty shells, copies of the prompt, answers in another language and cut
+answers are told pair by pair.
 """
 
 from __future__ import annotations
@@ -23,17 +26,6 @@ from brindle.sources.scratch import Scratch
 #: Answers that hold the place of an answer.
 PLACEHOLDERS = {"", "n/a", "na", "none", "null", "nil", "undefined", "nan", "tbd", "todo", "-", "--", "—", "–", ".", "..", "...", "…", "?", "\"\"", "''", "{}", "[]", "empty", "(empty)", "[empty]", "k. a.", "k.a."}
 
-#: How one declines in the first person, and words of declining, in four languages.
-DECLINES = re.compile(
-    r"\bI(?:'m| am)? (?:(?:really |very )?sorry\b|(?:can(?:'t|not)|could ?n[o']t|won't|will not|am not able|am unable|unable|not able|must (?:decline|refuse)|have to (?:decline|refuse)|refuse|decline|do not|don't|may not|am not (?:permitted|allowed))\b)"
-    r"|\bnot (?:permitted|allowed) to do\b|\bappropriate for me to\b|\bas an? (?:ai|language|large language)\b.{0,20}\b(?:model|assistant)\b|\bI'm not (?:able|permitted|allowed)\b"
-    r"|\b(?:ich (?:kann|darf|muss|werde|bin)|kann ich|darf ich|muss ich)\b.{0,60}\b(?:nicht|ablehnen|verweigern|keine?)\b|\btut mir leid\b"
-    r"|\bje (?:ne (?:peux|suis|dois|vais)|dois (?:refuser|décliner)|refuse|regrette)\b|\bdésolée?\b"
-    r"|\bno (?:puedo|estoy autorizad[oa]|debo|me es posible)\b|\b(?:debo|tengo que) (?:negarme|rechazar|declinar)\b|\blo siento\b",
-    re.IGNORECASE,
-)
-WEAK = re.compile(r"\b(?:sorry|unable to|not (?:able|permitted|allowed|appropriate)|comply|unfortunately|leider|ablehnen|verweigern|désolée?|malheureusement|lamentablemente|lo siento)\b", re.IGNORECASE)
-
 #: Frequent small words that tell four languages apart.
 SMALL_WORDS = {
     "en": "the and is are of to in for with that by you it on was were be been has have from this which at as or not they when your their its who than each before after more into because since can will about first all how",
@@ -57,6 +49,7 @@ _FIRST = re.compile(r"(?<=[.!?])\s")
 _LIST_MARK = re.compile(r"^\s*(?:[-*•]\s+|>+\s*|#+\s+|\d+[.)]\s+)")
 _WORD = re.compile(r"[^\W_]+")
 _ADDRESS = re.compile(r"\w+://\S+")
+_KEY = re.compile(r'"\s*:')
 
 
 def _decoded(s: str) -> str:
@@ -68,31 +61,38 @@ def _decoded(s: str) -> str:
         return re.sub(r"\\.?", " ", s)
 
 
-def is_empty(response: str | None) -> bool:
-    """Null, blank, a placeholder, or JSON all of whose values are blank; `false`, `true` and numbers are answers."""
+def values_in(response: str | None) -> int:
+    """How many values a response holds, fences left out: the lines of prose, or the values of JSON that aren't blank or placeholders.
+
+    0 is an empty shell; `false`, `true` and numbers are values. JSON that can't be
+    read has as many values as keys, one at least, and JSON behind prose one more.
+    """
     t = (response or "").strip()
-    for _ in range(3):
-        bare = _FENCE.sub("", t).strip()
-        if bare == t:
-            break
+    while (bare := _FENCE.sub("", t).strip()) != t:
         t = bare
     if t.casefold() in PLACEHOLDERS:
-        return True
+        return 0
     if t[:1] not in "[{\"":
-        return False
+        return 2 if truncation._JSON_START.search(t) else sum(1 for line in t.split("\n") if line.strip())
     try:
         left = [json.loads(t)]
     except (ValueError, RecursionError):
-        return False
+        return max(len(_KEY.findall(t)), 1)
+    n = 0
     while left:
         v = left.pop()
         if isinstance(v, dict):
             left += v.values()
         elif isinstance(v, list):
             left += v
-        elif v is not None and not (isinstance(v, str) and v.strip().casefold() in PLACEHOLDERS):
-            return False
-    return True
+        else:
+            n += v is not None and not (isinstance(v, str) and v.strip().casefold() in PLACEHOLDERS)
+    return n
+
+
+def is_empty(response: str | None) -> bool:
+    """Null, blank, a placeholder, or JSON all of whose values are blank."""
+    return values_in(response) == 0
 
 
 def statements(response: str) -> list[str]:
@@ -177,54 +177,52 @@ def _plain(response: str) -> str:
 
 
 _TRAITS = T.StructType(
-    [T.StructField("empty", T.BooleanType()), T.StructField("opening", T.StringType()), T.StructField("copy", T.BooleanType()), T.StructField("wrong_language", T.BooleanType()), T.StructField("strong", T.BooleanType()), T.StructField("weak", T.BooleanType())]
+    [T.StructField("empty", T.BooleanType()), T.StructField("opening", T.StringType()), T.StructField("bare", T.BooleanType()), T.StructField("copy", T.BooleanType()), T.StructField("wrong_language", T.BooleanType())]
 )
 
 
 def traits_of(prompt: str | None, response: str | None) -> tuple:
-    if is_empty(response):
-        return True, "", False, False, False, False
+    n = values_in(response)
+    if n == 0:
+        return True, "", False, False, False
     told = statements(response)
-    first = opening_sentence(response, told)
-    return False, even(first), copied_share(prompt, response, least=0.5) >= 0.5, is_wrong_language(prompt, response, told), bool(DECLINES.search(first)), bool(WEAK.search(first))
+    return False, even(opening_sentence(response, told)), n == 1, copied_share(prompt, response, least=0.5) >= 0.5, is_wrong_language(prompt, response, told)
 
 
-def refusal_openings(traits: DataFrame, prompts: DataFrame, keys: list[str], recurring: int = 3) -> DataFrame:
-    """(opening) of the clusters that decline: most members in the first person, or most in words of declining under `recurring` or more unrelated prompts.
+def refusal_openings(traits: DataFrame, prompts: DataFrame, keys: list[str], recurring: int = 3, tasks: int = 2, bare: float = 0.9) -> DataFrame:
+    """(opening) of the clusters whose responses are bare in the share `bare`, under `recurring` or more unrelated prompts of `tasks` or more tasks.
 
-    `prompts` has the keys and the prompt. Prompts are unrelated that fall in
-    different clusters of the prompts' texts, addresses left out and numbers evened
-    out: retried calls, variants of one opening and prompts of one template with
-    other addresses count once. Only prompts on which a cluster depends are read.
+    `traits` has keys, task, opening and bare, `prompts` the keys and the prompt.
+    Prompts are unrelated that fall in different clusters of the prompts' texts,
+    addresses left out and numbers evened out: retried calls, variants of one opening
+    and prompts of one template with other addresses count once. Only prompts on
+    which a cluster depends are read.
     """
     scratch = Scratch(traits.sparkSession, "refusals")
     opened = traits.where("opening <> ''")
-    by_opening = scratch.keep(opened.groupBy("opening").agg(F.count("*").alias("n"), F.count_if("strong").alias("strong"), F.count_if("weak").alias("weak")))
-    placed = scratch.keep(by_opening.join(minhash.clusters(by_opening, "opening"), "opening"))
-    of_cluster = scratch.keep(placed.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("strong").alias("strong"), F.sum("weak").alias("weak")))
-    declining = of_cluster.where(F.col("strong") * 2 > F.col("n")).select("cluster")
-    unsure = of_cluster.where((F.col("strong") * 2 <= F.col("n")) & (F.col("weak") * 2 > F.col("n")) & (F.col("n") >= recurring))
-    unsure_openings = placed.join(unsure.select("cluster"), "cluster", "left_semi").select("opening", "cluster")
-    under = scratch.keep(opened.select(*keys, "opening").join(unsure_openings, "opening").select(*keys, "cluster"))
+    by_task = scratch.keep(opened.groupBy("opening", "task").agg(F.count("*").alias("n"), F.count_if("bare").alias("bare")))
+    placed = scratch.keep(by_task.join(minhash.clusters(by_task.select("opening").distinct(), "opening"), "opening"))
+    of_cluster = placed.groupBy("cluster", "task").agg(F.sum("n").alias("n"), F.sum("bare").alias("bare")).groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("bare").alias("bare"), F.count("*").alias("tasks"))
+    unsure = of_cluster.where((F.col("bare") >= bare * F.col("n")) & (F.col("n") >= recurring) & (F.col("tasks") >= tasks)).select("cluster")
+    openings = scratch.keep(placed.join(unsure, "cluster", "left_semi").select("opening", "cluster").distinct())
+    under = scratch.keep(opened.select(*keys, "opening").join(openings, "opening").select(*keys, "cluster"))
 
     @F.pandas_udf("string")
     def evened(texts: pd.Series) -> pd.Series:
         return pd.Series([even(_ADDRESS.sub(" ", t or "")) for t in texts], dtype=object)
 
-    if n := under.count():
-        read = prompts.join(F.broadcast(under) if n < 200_000 else under, keys)
-        asked = scratch.keep(read.select("cluster", evened("prompt").alias("asked")).distinct())
-        alike = minhash.clusters(asked, "asked").withColumnRenamed("cluster", "asked_alike")
-        recurs = asked.join(alike, "asked").groupBy("cluster").agg(F.count_distinct("asked_alike").alias("prompts"))
-        declining = declining.unionByName(recurs.where(F.col("prompts") >= recurring).select("cluster"))
-    return placed.join(declining, "cluster", "left_semi").select("opening")
+    read = prompts.join(F.broadcast(under) if under.count() < 200_000 else under, keys)
+    asked = scratch.keep(read.select("cluster", evened("prompt").alias("asked")).distinct())
+    alike = minhash.clusters(asked, "asked").withColumnRenamed("cluster", "asked_alike")
+    recurs = asked.join(alike, "asked").groupBy("cluster").agg(F.count_distinct("asked_alike").alias("prompts"))
+    return openings.join(recurs.where(F.col("prompts") >= recurring), "cluster", "left_semi").select("opening")
 
 
-def defects(calls: DataFrame, prompt: str = "prompt_preview", response: str = "response_preview", keys: tuple[str, ...] = ("run_id", "id"), source: str = "source") -> DataFrame:
+def defects(calls: DataFrame, prompt: str = "prompt_preview", response: str = "response_preview", keys: tuple[str, ...] = ("run_id", "id"), source: str = "source", task: str = "task", recurring: int = 3) -> DataFrame:
     """(keys, defect) of every broken pair, once for each kind: empty, truncated, refusal, copy, wrong_language.
 
     Rows delivered twice count once. A null prompt can only have an empty, truncated
-    or declining response. A refusal or copy has no wrong language, an empty
+    or declining response; null tasks are one task. A refusal or copy has no wrong language, an empty
     response no other defect. An empty table gives an empty result.
     """
     scratch = Scratch(calls.sparkSession, "pairs")
@@ -234,11 +232,11 @@ def defects(calls: DataFrame, prompt: str = "prompt_preview", response: str = "r
         return pd.DataFrame([traits_of(p, r) for p, r in zip(prompts, responses)], columns=_TRAITS.names)
 
     each = scratch.keep(
-        calls.select(*keys, traits(F.col(prompt), F.col(response)).alias("t"))
-        .select(*keys, "t.*")
+        calls.select(*keys, F.col(task).alias("task"), traits(F.col(prompt), F.col(response)).alias("t"))
+        .select(*keys, "task", "t.*")
         .dropDuplicates([*keys])
     )
-    declining = refusal_openings(each, calls.select(*keys, F.col(prompt).alias("prompt")), [*keys]).withColumn("refusal", F.lit(True))
+    declining = refusal_openings(each, calls.select(*keys, F.col(prompt).alias("prompt")), [*keys], recurring).withColumn("refusal", F.lit(True))
     # Refusals are few openings: the size is checked before they are sent to all.
     declining = scratch.keep(declining)
     few = declining.count() < 200_000

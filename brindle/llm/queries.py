@@ -58,7 +58,7 @@ def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every broken pair of prompt and response with the kind of its defect."""
-    calls = spread(_calls(spark, sf_dir).select("run_id", "id", "source", "prompt_preview", "response_preview"), "run_id", "id")
+    calls = spread(_calls(spark, sf_dir).select("run_id", "id", "source", "task", "prompt_preview", "response_preview"), "run_id", "id")
     return pairs.defects(calls)
 
 

@@ -1,7 +1,7 @@
 import random
 
 from brindle.llm.minhash import clusters
-from brindle.llm.pairs import copied_share, defects, even, is_empty, is_wrong_language, opening_sentence
+from brindle.llm.pairs import copied_share, defects, even, is_empty, is_wrong_language, opening_sentence, values_in
 
 PROMPT = "Write short notes on every piece of metadata you can see in the page. Keep names exactly as they are written. Leave a field out rather than guess it."
 GERMAN = '{"name": "Oral history", "description": "Die Aufzeichnung bleibt 9 Tage lang abrufbar und wird nicht verschickt."}'
@@ -10,6 +10,7 @@ GERMAN = '{"name": "Oral history", "description": "Die Aufzeichnung bleibt 9 Tag
 def test_empty():
     for t in (None, "", " \n", "N/A", "```json\n```", "```json\n{}\n```", "[]", "null", '""', '{"description": ""}', '{"a": [], "b": {"c": null}}', "..."):
         assert is_empty(t), t
+    assert [values_in(t) for t in ("a b", "a\n\nb", '{"error": "a b"}', '{"a": "b", "c": [1]}', '{"a": "b", "c": [1', 'So: {"a": 1}', '```json\n{"a": "b"}\n```')] == [1, 2, 1, 2, 2, 2, 1]
     for t in ('{"relevant": false}', "0", "No courses were found.", '{"items": [], "relevant": true}', "{broken", "[" * 3000):
         assert not is_empty(t), t
 
@@ -83,24 +84,34 @@ def test_pairs_at_the_least_similarity_are_linked(spark):
     assert [r["count"] for r in clusters(df).groupBy("cluster").count().collect()] == [2] * 400
 
 
+OTHER = ["List all the courses with their dates and places.", "Which people teach here, and on what days do they do it?", "Sum up this text in a few short words for a newsletter.", "Say whether the fragment holds any training at all."]
+SCHEMA = "run_id string, id int, source string, task string, prompt_preview string, response_preview string"
+
+
 def test_defects(spark):
-    rows = [("r", i, "s", f"{PROMPT} Number {i}.", "I am unable to process this page. It is private.") for i in range(3)]
-    rows += [("r", 10, "s", PROMPT, "The archive refuses files without a checksum. It is so."), ("r", 11, "s", PROMPT, "[]"), ("r", 12, "s", PROMPT, PROMPT)]
-    rows += [("r", 13, "s", PROMPT, GERMAN), ("r", 14, "s", PROMPT, GERMAN[:-20]), ("r", 14, "s", PROMPT, GERMAN[:-20]), ("r", 15, None, None, None)]
-    rows += [("r", 16, "s", PROMPT, "The notes say much. I can't see a date in this text, sorry; the rest is filled in.")]
-    df = spark.createDataFrame([(*r, "clash") for r in rows], "run_id string, id int, source string, prompt_preview string, response_preview string, defect string")
+    rows = [("r", i, "s", f"t{i % 2}", OTHER[i], "I am unable to process this page. It is private.") for i in range(3)]
+    rows += [("r", 3, "s", "t0", PROMPT, '{"error": "I am unable to process this page."}'), ("r", 10, "s", "t0", PROMPT, "The archive refuses files without a checksum. It is so."), ("r", 11, "s", "t0", PROMPT, "[]"), ("r", 12, "s", "t0", PROMPT, PROMPT)]
+    rows += [("r", 13, "s", "t0", PROMPT, GERMAN), ("r", 14, "s", "t0", PROMPT, GERMAN[:-20]), ("r", 14, "s", "t0", PROMPT, GERMAN[:-20]), ("r", 15, None, None, None, None)]
+    rows += [("r", 16, "s", "t1", PROMPT, "The notes say much. I can't see a date in this text, sorry; the rest is filled in.")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA + ", defect string")
     got = {(r.id, r.defect) for r in defects(df).collect()}
-    assert got == {*[(i, "refusal") for i in range(3)], (11, "empty"), (12, "copy"), (13, "wrong_language"), (14, "wrong_language"), (14, "truncated"), (15, "empty")}
+    assert got == {*[(i, "refusal") for i in range(4)], (11, "empty"), (12, "copy"), (13, "wrong_language"), (14, "wrong_language"), (14, "truncated"), (15, "empty")}
     assert defects(df.limit(0)).count() == 0
 
 
-def test_recurring_under_unrelated_prompts(spark):
-    """Words of declining recur under three prompts; variants of an opening, retried calls and addresses of one template aren't other prompts."""
-    private = "Unfortunately this page is kept from reading today. It is private."
-    closed = "Unfortunately the list of all courses at this place was closed for the winter and stays so until the first day of {}. It is private."
-    other = ["List all the courses with their dates and places.", "Which people teach here, and on what days do they do it?", "Sum up this text in a few short words for a newsletter."]
-    rows = [(i, p, private.replace("page", "file")) for i, p in enumerate(other)]
-    rows += [(10 + i, f"{PROMPT} Number {i}. URL: https://a.example/{'xyz'[i]}", private.replace("page", "talk")) for i in range(3)]
-    rows += [(20 + i, PROMPT, closed.format(m)) for i, m in enumerate(("March", "April", "May"))]
-    df = spark.createDataFrame([("r", i, "s", p, r) for i, p, r in rows], "run_id string, id int, source string, prompt_preview string, response_preview string")
-    assert {r.id for r in defects(df).where("defect = 'refusal'").collect()} == {0, 1, 2}
+def test_recurrence_decides(spark):
+    """One and the same text is a refusal where it recurs bare under unrelated prompts and tasks, in a language nobody listed; no other one is."""
+    text = "Olen pahoillani mutta en voi auttaa tässä asiassa nyt enkä myöhemmin."
+    whole = '{{"name": "Course {}", "description": "Coffee and lunch are included in the fee; travel is not.", "url": "https://a.example/{}"}}'
+
+    def found(rows, **more):
+        df = spark.createDataFrame([("r", i, "s", *r) for i, r in enumerate(rows)], SCHEMA)
+        return {r.id for r in defects(df, **more).where("defect = 'refusal'").collect()}
+
+    bare = [(f"t{i % 2}", p, text) for i, p in enumerate(OTHER)]
+    answers = [(f"t{i % 2}", p, whole.format(i, i)) for i, p in enumerate(OTHER)]
+    assert found(bare + answers) == {0, 1, 2, 3}
+    assert found(bare[:2] + answers) == set() and found(bare[:2] + answers, recurring=1) == {0, 1}
+    assert found([("t0", p, r) for _, p, r in bare]) == set()  # the answer of one task
+    related = [(f"t{i}", f"{PROMPT} Number {i}. URL: https://a.example/{'xyz'[i]}", text) for i in range(3)]
+    assert found(related) == set() and found([*related[:1] * 5, *related]) == set()
