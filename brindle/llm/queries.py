@@ -81,7 +81,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest stretch of each leaked item in each document."""
-    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return leakage.leaks(documents, table(spark, sf_dir, "eval_items"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
