@@ -7,7 +7,10 @@ from the overall one: general words, names and practical matters weigh nothing.
 sentence is a vector of weights of length one at most, a document the sum of its
 sentences, so that no sentence outweighs the others. The documents' truncated
 singular value decomposition is found by subspace iteration: each pass multiplies
-the basis by all documents in the tasks and adds up the partial products in Spark.
+the basis by all documents in the tasks and adds up the partial products in Spark; a
+round goes on from the basis of the round before. The tasks of a pass are as many as
+the cluster's cores at most, however many files there are, so that what is added up
+grows with the cluster and not with the corpus.
 
 Seed centroids, for each subject and language, come from labelled documents and the
 subjects' descriptions. All documents are then assigned by cosine similarity; the
@@ -18,13 +21,17 @@ centroids is high enough and at least two of its sentences are on it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from brindle.llm.pairs import SMALL_WORDS
 from brindle.sources.scratch import Scratch
@@ -32,7 +39,7 @@ from brindle.sources.scratch import Scratch
 
 @dataclass(frozen=True)
 class Settings:
-    """buckets: terms; rank: singular vectors; passes: subspace iterations of a round; weak: length below which a sentence isn't stretched to one."""
+    """buckets: terms; rank: singular vectors; passes: subspace iterations of the first round, later ones go on with one each; weak: length below which a sentence isn't stretched to one."""
 
     buckets: int = 1 << 16
     rank: int = 48
@@ -46,32 +53,91 @@ class Settings:
     seed: int = 7
 
 
-def _term(word: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
+_SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
+_PLAIN_WORD = re.compile(r"[a-z]{2,}")
+_WORD = regex.compile(r"[\p{L}\p{M}]{2,}")
 
 
-def hashed_sentences(text: Column, buckets: int) -> Column:
-    """ARRAY<ARRAY<INT>>: the terms of each sentence of a text that has any, in order."""
-    sentences = F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?<=[.!?])\s+|\n+")
-    words = F.transform(sentences, lambda s: F.regexp_extract_all(s, F.lit(r"([\p{L}\p{M}]{2,})"), F.lit(1)))
-    return F.transform(F.filter(words, lambda w: F.size(w) > 0), lambda ws: F.transform(ws, lambda w: _term(w, buckets)))
+@lru_cache(maxsize=200_000)
+def _term(word: str, buckets: int) -> int:
+    return xxh64_intdigest(word) % buckets
 
 
-def _language_votes(spark: SparkSession, buckets: int) -> np.ndarray:
+def hashed_sentences(text: str | None, buckets: int) -> list[list[int]]:
+    """The terms of each sentence of a text that has any, in order."""
+    out = []
+    for sentence in _SENTENCE.split((text or "").lower()):
+        words = _PLAIN_WORD.findall(sentence) if sentence.isascii() else _WORD.findall(sentence)
+        if words:
+            out.append([_term(w, buckets) for w in words])
+    return out
+
+
+def _language_votes(buckets: int) -> np.ndarray:
     """buckets x languages: what each term's small words say of the language."""
-    pairs = [(w, i) for i, ws in enumerate(SMALL_WORDS.values()) for w in ws.split()]
     votes = np.zeros((buckets, len(SMALL_WORDS)), dtype=np.float32)
-    words = spark.createDataFrame(pairs, "w string, i int").select(_term(F.col("w"), buckets).alias("t"), "i")
-    for r in words.collect():  # a few hundred fixed words
-        votes[r.t, r.i] += 1
+    for i, ws in enumerate(SMALL_WORDS.values()):
+        for w in ws.split():
+            votes[_term(w, buckets), i] += 1
     return votes / np.maximum(votes.sum(1, keepdims=True), 1)
 
 
+def prepared_texts(rows: DataFrame, buckets: int) -> DataFrame:
+    """The other columns of `rows`, and the language (a number) and the hashed sentences of each text that has any."""
+    others = [c for c in rows.columns if c != "text"]
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others] + ["language int, sentences array<array<int>>"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        votes = _language_votes(buckets)
+        for batch in batches:
+            found = [hashed_sentences(t, buckets) for t in batch.column("text").to_pylist()]
+            kept = pa.array([i for i, f in enumerate(found) if f], pa.int64())
+            found = [f for f in found if f]
+            sentences = pa.array(found, pa.list_(pa.list_(pa.int32())))
+            language = np.zeros((len(found), votes.shape[1] + 1), dtype=np.float64)
+            if found:
+                terms = sentences.flatten().flatten().to_numpy()
+                in_doc = np.repeat(np.arange(len(found)), [sum(map(len, f)) for f in found])
+                for j in range(votes.shape[1]):
+                    language[:, j] = np.bincount(in_doc, weights=votes[terms, j], minlength=len(found))
+                language[:, -1] = (language.max(1) <= 0) * 1.0
+            told = language.argmax(1).astype(np.int32) if found else np.zeros(0, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(kept) for c in others], pa.array(told), sentences], names=[*others, "language", "sentences"])
+
+    return rows.mapInArrow(hashed, schema)
+
+
+def _times(rows: np.ndarray, columns: np.ndarray, value: np.ndarray, n: int, right: np.ndarray) -> np.ndarray:
+    """The product of a sparse matrix of n rows, given by its entries, with a dense one; dense inside where it is well filled."""
+    out = np.zeros((n, right.shape[1]), dtype=np.float32)
+    if not len(rows):
+        return out
+    used, at = np.unique(columns, return_inverse=True)
+    if len(rows) * 60 > n * len(used):
+        step = max(1, 4_000_000 // len(used))
+        order = np.argsort(rows, kind="stable") if (rows[1:] < rows[:-1]).any() else slice(None)
+        rows, at, value = rows[order], at[order], value[order]
+        for a in range(0, n, step):
+            lo, hi = np.searchsorted(rows, [a, min(a + step, n)])
+            m = min(a + step, n) - a
+            filled = np.bincount((rows[lo:hi] - a) * len(used) + at[lo:hi], weights=value[lo:hi], minlength=m * len(used)).astype(np.float32)
+            out[a : a + m] = filled.reshape(m, len(used)) @ right[used]
+        return out
+    if (rows[1:] < rows[:-1]).any():
+        order = np.argsort(rows, kind="stable")
+        rows, columns, value = rows[order], columns[order], value[order]
+    taken = np.take(right, columns, axis=0)
+    taken *= value[:, None]
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    out[rows[first]] = np.add.reduceat(taken, first, axis=0)
+    return out
+
+
 class _Model:
     """What the tasks need: weights, basis, centroids; all bounded by the settings."""
 
-    def __init__(self, settings: Settings, votes: np.ndarray, weights: np.ndarray):
-        self.s, self.votes = settings, votes.astype(np.float32)
+    def __init__(self, settings: Settings, weights: np.ndarray):
+        self.s = settings
         self.active = np.flatnonzero(weights > 5e-4)
         self.slot = np.full(settings.buckets, -1, dtype=np.int32)
         self.slot[self.active] = np.arange(len(self.active), dtype=np.int32)
@@ -80,41 +146,32 @@ class _Model:
         self.centroids = np.zeros((0, settings.rank), dtype=np.float32)
         self.subject_of = np.zeros(0, dtype=np.int32)
 
-    def parts(self, sentences: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-        """(sentence, slot, value) of each active term, the document of each sentence, languages, number of documents."""
+    def parts(self, sentences: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        """(sentence, slot, value) of each active term, the document of each sentence, number of documents."""
         if isinstance(sentences, pa.ChunkedArray):
             sentences = sentences.combine_chunks()
         n, outer = len(sentences), sentences.offsets.to_numpy()
         inner = sentences.flatten()
         in_doc = np.repeat(np.arange(n), np.diff(outer))
-        lengths = np.diff(inner.offsets.to_numpy())
-        terms = inner.flatten().to_numpy(zero_copy_only=False)
-        sentence = np.repeat(np.arange(len(in_doc)), lengths)
-        votes = np.zeros((n, self.votes.shape[1]), dtype=np.float32)
-        said = np.flatnonzero(self.votes[terms].any(1))
-        np.add.at(votes, in_doc[sentence[said]], self.votes[terms[said]])
-        language = np.where(votes.max(1) > 0, votes.argmax(1), self.votes.shape[1])
-        slot = self.slot[terms]
+        slot = self.slot[inner.flatten().to_numpy(zero_copy_only=False)]
+        sentence = np.repeat(np.arange(len(in_doc)), np.diff(inner.offsets.to_numpy()))
         keep = slot >= 0
         sentence, slot = sentence[keep], slot[keep]
         value = self.weights[slot]
         norm = np.sqrt(np.bincount(sentence, weights=value * value, minlength=len(in_doc)))
         value = value / np.maximum(norm, self.s.weak)[sentence].astype(np.float32)
-        return sentence, slot, value, in_doc, language, n
+        return sentence, slot, value, in_doc, n
 
     def embed(self, rows: np.ndarray, slot: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros((n, self.s.rank), dtype=np.float32)
-        if len(slot):
-            at = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            out[rows[at]] = np.add.reduceat(value[:, None] * self.basis[slot], at, axis=0)
-        return out
+        return _times(rows, slot, value, n, self.basis)
 
     def subjects(self, vectors: np.ndarray, subjects: int) -> np.ndarray:
         """rows x subjects: the best cosine to a centroid of each subject."""
-        unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
         out = np.full((len(vectors), subjects), -1, dtype=np.float32)
-        for c, j in zip(self.centroids, self.subject_of):
-            np.maximum(out[:, j], unit @ c, out=out[:, j])
+        if len(self.centroids):
+            cosines = (vectors @ self.centroids.T) / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
+            first = np.flatnonzero(np.r_[True, self.subject_of[1:] != self.subject_of[:-1]])
+            out[:, self.subject_of[first]] = np.maximum(out[:, self.subject_of[first]], np.maximum.reduceat(cosines, first, axis=1))
         return out
 
 
@@ -129,46 +186,62 @@ def _weights(documents: np.ndarray, total: int, by_subject: np.ndarray, s: Setti
     return weights / max((weights * mass).sum() / max(mass.sum(), 1e-12), 1e-12)
 
 
-def _counts(assigned: DataFrame, s: Settings, subjects: int) -> np.ndarray:
-    """buckets x subjects: documents of each subject that hold the term; `assigned` has subject and terms."""
-    out = np.zeros((s.buckets, subjects))
-    rows = assigned.select("subject", F.explode("terms").alias("t")).groupBy("t").pivot("subject", list(range(subjects))).count()
-    found = rows.na.fill(0).toArrow()  # at most `buckets` rows
-    at = found.column("t").to_numpy()
-    for j in range(subjects):
-        out[at, j] = found.column(str(j)).to_numpy()
-    return out
+def _few_tasks(df: DataFrame) -> DataFrame:
+    """The table in as many tasks as the cluster has cores at most; each of them gives one partial result."""
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def _decompose(prepared: DataFrame, model: _Model, s: Settings) -> None:
-    """Sets the model's basis to the leading right singular vectors of the documents' matrix."""
+def _counts(assigned: DataFrame, s: Settings, subjects: int) -> np.ndarray:
+    """buckets x subjects: documents of each subject that hold the term; `assigned` has subject and sentences."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(s.buckets * subjects, dtype=np.int64)
+        for batch in batches:
+            sentences = batch.column("sentences")
+            of_doc = np.diff(sentences.flatten().offsets.to_numpy()[sentences.offsets.to_numpy() - sentences.offsets[0].as_py()])
+            doc = np.repeat(np.arange(len(sentences)), of_doc)
+            keys = np.unique(doc * s.buckets + sentences.flatten().flatten().to_numpy(zero_copy_only=False))
+            subject = batch.column("subject").to_numpy()[keys // s.buckets]
+            out += np.bincount((keys % s.buckets) * subjects + subject, minlength=len(out))
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["at", "n"])
+
+    summed = _few_tasks(assigned.select("subject", "sentences")).mapInArrow(counted, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    found = np.zeros(s.buckets * subjects)
+    found[summed.column("at").to_numpy()] = summed.column("n").to_numpy()
+    return found.reshape(s.buckets, subjects)
+
+
+def _decompose(prepared: DataFrame, model: _Model, s: Settings, before: _Model | None) -> None:
+    """Sets the model's basis to the leading right singular vectors of the documents' matrix, going on from the model before."""
     names = [f"v{k}" for k in range(s.rank)]
     schema = "slot int, " + ", ".join(f"{n} double" for n in names)
     rng = np.random.default_rng(s.seed)
-    model.basis = np.linalg.qr(rng.standard_normal((max(len(model.active), s.rank), s.rank)))[0][: len(model.active)].astype(np.float32)
+    begin = rng.standard_normal((max(len(model.active), s.rank), s.rank))
+    if before is not None and len(before.active):
+        begin *= 1e-3 / np.sqrt(len(begin))
+        shared = model.slot[before.active]
+        begin[shared[shared >= 0]] += before.basis[shared >= 0]
+    model.basis = np.linalg.qr(begin)[0][: len(model.active)].astype(np.float32)
     if not len(model.active):
         return
-    for _ in range(s.passes):
+    for _ in range(s.passes if before is None else 1):
         sent = prepared.sparkSession.sparkContext.broadcast(model)
 
         def products(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             m: _Model = sent.value
             out = np.zeros((len(m.active), m.s.rank))
             for batch in batches:
-                sentence, slot, value, in_doc, _, n = m.parts(batch.column("sentences"))
+                sentence, slot, value, in_doc, n = m.parts(batch.column("sentences"))
                 rows = in_doc[sentence]
                 y = m.embed(rows, slot, value, n)
-                length = np.sqrt(np.maximum(np.bincount(rows, weights=value * value, minlength=n), 1e-9))
-                y /= np.maximum(length, 1e-6)[:, None] ** 2
-                order = np.argsort(slot, kind="stable")
-                slots = slot[order]
-                if len(slots):
-                    at = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
-                    out[slots[at]] += np.add.reduceat(value[order, None] * y[rows[order]], at, axis=0)
+                y /= np.maximum(np.bincount(rows, weights=value * value, minlength=n), 1e-9)[:, None].astype(np.float32)
+                out += _times(slot, rows, value, len(m.active), y)
             used = np.flatnonzero(out.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(out[used, k]) for k in range(m.s.rank)]], names=["slot", *names])
 
-        summed = prepared.select("sentences").mapInArrow(products, schema).groupBy("slot").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+        summed = _few_tasks(prepared.select("sentences")).mapInArrow(products, schema).groupBy("slot").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+        sent.destroy()
         z = np.zeros((len(model.active), s.rank))
         z[summed.column("slot").to_numpy()] = np.stack([summed.column(n).to_numpy() for n in names], axis=1)
         z += 1e-9 * rng.standard_normal(z.shape)
@@ -178,43 +251,46 @@ def _decompose(prepared: DataFrame, model: _Model, s: Settings) -> None:
 
 
 def _centroids(seeded: DataFrame, model: _Model, s: Settings) -> None:
-    """Sets the model's centroids from the documents of each subject (columns subject, sentences), one for each language."""
+    """Sets the model's centroids from the documents of each subject (columns subject, language, sentences), one for each language."""
     sent = seeded.sparkSession.sparkContext.broadcast(model)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: _Model = sent.value
-        acc: dict[tuple[int, int], np.ndarray] = {}
+        acc: dict[int, np.ndarray] = {}
         for batch in batches:
-            sentence, slot, value, in_doc, language, n = m.parts(batch.column("sentences"))
+            sentence, slot, value, in_doc, n = m.parts(batch.column("sentences"))
             e = m.embed(in_doc[sentence], slot, value, n)
             e /= np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-6)
-            for key in set(zip(batch.column("subject").to_pylist(), language.tolist())):
-                rows = (batch.column("subject").to_numpy() == key[0]) & (language == key[1])
-                acc[key] = acc.get(key, 0) + e[rows].sum(0)
-        flat = [(j, c, k, float(v)) for (j, c), x in acc.items() for k, v in enumerate(x)]
+            groups = batch.column("subject").to_numpy() * 100 + batch.column("language").to_numpy()
+            for g in np.unique(groups).tolist():
+                acc[g] = acc.get(g, 0) + e[groups == g].sum(0)
+        flat = [(g // 100, g % 100, k, float(v)) for g, x in acc.items() for k, v in enumerate(x)]
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in flat], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.float64()))], names=["subject", "language", "k", "v"])
 
-    total = seeded.select("subject", "sentences").mapInArrow(sums, "subject int, language int, k int, v double").groupBy("subject", "language", "k").agg(F.sum("v").alias("v"))
+    seeds = _few_tasks(seeded.select("subject", "language", "sentences"))
+    total = seeds.mapInArrow(sums, "subject int, language int, k int, v double").groupBy("subject", "language", "k").agg(F.sum("v").alias("v"))
     means: dict[tuple[int, int], np.ndarray] = {}
     for r in total.collect():  # subjects x languages x rank
         means.setdefault((r.subject, r.language), np.zeros(s.rank))[r.k] = r.v
+    sent.destroy()
     kept = [(j, m / np.linalg.norm(m)) for (j, _), m in sorted(means.items()) if np.linalg.norm(m) > 1e-3]
     model.centroids = np.array([m for _, m in kept], dtype=np.float32).reshape(-1, s.rank)
     model.subject_of = np.array([j for j, _ in kept], dtype=np.int32)
 
 
-def _judge(m: _Model, sentences: pa.Array, subjects: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(cosines, sentences on each subject, all sentences, distinct terms per document as nested lists' parts)."""
-    sentence, slot, value, in_doc, _, n = m.parts(sentences)
-    cosines = m.subjects(m.embed(in_doc[sentence], slot, value, n), subjects)
+def _judge(m: _Model, sentences: pa.Array, subjects: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cosines, sentences on each subject, all sentences) of each document."""
+    sentence, slot, value, in_doc, n = m.parts(sentences)
     each = m.embed(sentence, slot, value, len(in_doc))
+    documents = _times(in_doc, np.arange(len(in_doc)), np.ones(len(in_doc), dtype=np.float32), n, each)
     strength = np.sqrt(np.bincount(sentence, weights=value * value, minlength=len(in_doc)))
-    near = m.subjects(each, subjects)
-    on = np.zeros((n, subjects), dtype=np.int32)
-    told = (strength > 0.5) & (near.max(1) > 0.3) if len(in_doc) else np.zeros(0, dtype=bool)
+    on = np.zeros((n, subjects), dtype=np.int64)
+    strong = np.flatnonzero(strength > 0.5)
+    near = m.subjects(each[strong], subjects)
+    told = near.max(1, initial=-1) > 0.3
     if told.any():
-        np.add.at(on, (in_doc[told], near[told].argmax(1)), 1)
-    return cosines, on, np.bincount(in_doc, minlength=n), strength
+        on = np.bincount(in_doc[strong[told]] * subjects + near[told].argmax(1), minlength=n * subjects).reshape(n, subjects)
+    return m.subjects(documents, subjects), on, np.bincount(in_doc, minlength=n)
 
 
 def subject_areas(
@@ -241,39 +317,23 @@ def subject_areas(
         return F.regexp_replace(F.lower(column), r"[\s_-]+", "")
 
     index = F.create_map(*[x for i, c in enumerate(codes) for x in (F.lit(c.lower().replace("_", "").replace("-", "").replace(" ", "")), F.lit(i))])
-    prepared = scratch.keep(
-        documents.where(F.col(doc).isNotNull() & F.col(text).isNotNull())
-        .select(F.col(doc).alias("doc_id"), hashed_sentences(F.col(text), s.buckets).alias("sentences"))
-        .where(F.size("sentences") > 0)
-    )
-    distinct_terms = F.array_distinct(F.flatten("sentences"))
+    prepared = scratch.keep(prepared_texts(documents.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), s.buckets))
     total = prepared.count()
     if not total:
         return empty
-    frequency = prepared.select(F.explode(distinct_terms).alias("t")).groupBy("t").count().toArrow()
-    documents_of = np.zeros(s.buckets)
-    documents_of[frequency.column("t").to_numpy()] = frequency.column("count").to_numpy()
+    documents_of = _counts(prepared.select(F.lit(0).alias("subject"), "sentences"), s, 1)[:, 0]
 
     known = labels.select("doc_id", F.element_at(index, code_of(F.col("subject"))).alias("subject")).where("subject is not null and doc_id is not null")
     single = known.groupBy("doc_id").agg(F.min("subject").alias("subject"), F.max("subject").alias("other")).where("subject = other").select("doc_id", "subject")
-    described = areas.where("subject is not null").select(
-        F.element_at(index, code_of(F.col("subject"))).alias("subject"), hashed_sentences(F.concat_ws(". ", "name", "description"), s.buckets).alias("sentences")
-    )
-    votes = _language_votes(spark, s.buckets)
-    speaks = spark.sparkContext.broadcast(_Model(s, votes, np.zeros(s.buckets)))
-
-    def spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            language = speaks.value.parts(batch.column("sentences"))[4]
-            yield pa.RecordBatch.from_arrays([batch.column("subject"), pa.array(language.astype(np.int32)), batch.column("sentences")], names=["subject", "language", "sentences"])
-
-    seeded = "subject int, language int, sentences array<array<int>>"
-    labelled = scratch.keep(prepared.join(single, "doc_id").select("subject", "sentences").mapInArrow(spoken, seeded))
-    seeds = labelled.select("subject", "sentences").unionByName(described)
-    by_subject = _counts(seeds.withColumn("terms", distinct_terms), s, n_subjects)
+    told = areas.where("subject is not null").select(F.element_at(index, code_of(F.col("subject"))).alias("subject"), F.concat_ws(". ", "name", "description").alias("text"))
+    described = prepared_texts(told, s.buckets)
+    labelled = scratch.keep(prepared.join(single, "doc_id").select("subject", "language", "sentences"))
+    seeds = labelled.unionByName(described)
+    by_subject = _counts(seeds, s, n_subjects)
+    model = None
     for k in range(s.rounds):
-        model = _Model(s, votes, _weights(documents_of, total, by_subject, s))
-        _decompose(prepared, model, s)
+        before, model = model, _Model(s, _weights(documents_of, total, by_subject, s))
+        _decompose(prepared, model, s, before)
         _centroids(seeds, model, s)
         sent = spark.sparkContext.broadcast(model)
         if k + 1 == s.rounds:
@@ -282,25 +342,24 @@ def subject_areas(
         def plain(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             m: _Model = sent.value
             for batch in batches:
-                cosines, on, _, _ = _judge(m, batch.column("sentences"), n_subjects)
-                language = m.parts(batch.column("sentences"))[4]
+                cosines, on, _ = _judge(m, batch.column("sentences"), n_subjects)
                 order = np.sort(cosines, axis=1)
                 best = cosines.argmax(1)
                 second = order[:, -2] if n_subjects > 1 else np.full(len(order), -1.0)
                 sure = (order[:, -1] >= m.s.plain) & (second < m.s.similarity) & (on[np.arange(len(on)), best] >= 2)
-                yield pa.RecordBatch.from_arrays([pa.array(best[sure].astype(np.int32)), pa.array(language[sure].astype(np.int32)), batch.column("sentences").filter(pa.array(sure))], names=["subject", "language", "sentences"])
+                yield pa.RecordBatch.from_arrays([pa.array(best[sure].astype(np.int32)), *[batch.column(c).filter(pa.array(sure)) for c in ("language", "sentences")]], names=["subject", "language", "sentences"])
 
-        assigned = scratch.keep(prepared.select("sentences").mapInArrow(plain, seeded))
+        assigned = scratch.keep(prepared.select("language", "sentences").mapInArrow(plain, "subject int, language int, sentences array<array<int>>"))
         # A subject without plain documents in a language keeps its labelled ones in it.
         held = assigned.select("subject", "language").distinct()  # subjects x languages
         kept = labelled.join(F.broadcast(held), ["subject", "language"], "left_anti")
-        seeds = assigned.unionByName(kept).select("subject", "sentences").unionByName(described)
-        by_subject = _counts(seeds.withColumn("terms", distinct_terms), s, n_subjects)
+        seeds = assigned.unionByName(kept).unionByName(described)
+        by_subject = _counts(seeds, s, n_subjects)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: _Model = sent.value
         for batch in batches:
-            cosines, on, sentences, _ = _judge(m, batch.column("sentences"), n_subjects)
+            cosines, on, sentences = _judge(m, batch.column("sentences"), n_subjects)
             treated = (cosines >= m.s.similarity) & ((on >= 2) | ((on >= 1) & (sentences[:, None] <= 2)))
             rows, which = np.nonzero(treated)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array([codes[j] for j in which], pa.string())], names=["doc_id", "subject"])
