@@ -18,7 +18,6 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from brindle.llm import minhash, truncation
 from brindle.sources.scratch import Scratch
@@ -176,11 +175,6 @@ def _plain(response: str) -> str:
     return re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m.group(1), 16)), response).replace("\\n", " ") if "\\" in response else response
 
 
-_TRAITS = T.StructType(
-    [T.StructField("empty", T.BooleanType()), T.StructField("opening", T.StringType()), T.StructField("bare", T.BooleanType()), T.StructField("copy", T.BooleanType()), T.StructField("wrong_language", T.BooleanType())]
-)
-
-
 def traits_of(prompt: str | None, response: str | None) -> tuple:
     n = values_in(response)
     if n == 0:
@@ -226,14 +220,17 @@ def defects(calls: DataFrame, prompt: str = "prompt_preview", response: str = "r
     response no other defect. An empty table gives an empty result.
     """
     scratch = Scratch(calls.sparkSession, "pairs")
+    sizes = [f"m{k}" for k in range(len(truncation.MEASURES))]
+    names = ["empty", "opening", "bare", "copy", "wrong_language", "verdict", "last", *sizes]
 
-    @F.pandas_udf(_TRAITS)
-    def traits(prompts: pd.Series, responses: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([traits_of(p, r) for p, r in zip(prompts, responses)], columns=_TRAITS.names)
+    @F.pandas_udf("empty boolean, opening string, bare boolean, copy boolean, wrong_language boolean, verdict string, last string, " + ", ".join(f"{m} int" for m in sizes))
+    def traits(prompts: pd.Series, responses: pd.Series, hosts: pd.Series) -> pd.DataFrame:
+        rows = [(*traits_of(p, r), *truncation.ending(r, False, h), *(truncation.lengths(r) if r is not None else [None] * len(sizes))) for p, r, h in zip(prompts, responses, hosts)]
+        return pd.DataFrame(rows, columns=names).astype({m: "Int32" for m in sizes})
 
     each = scratch.keep(
-        calls.select(*keys, F.col(task).alias("task"), traits(F.col(prompt), F.col(response)).alias("t"))
-        .select(*keys, "task", "t.*")
+        calls.select(*keys, F.col(task).alias("task"), F.col(source).alias("source"), F.xxhash64(response).alias("print"), traits(F.col(prompt), F.col(response), F.col(source)).alias("t"))
+        .select(*keys, "task", "source", "print", "t.*")
         .dropDuplicates([*keys])
     )
     declining = refusal_openings(each, calls.select(*keys, F.col(prompt).alias("prompt")), [*keys], recurring).withColumn("refusal", F.lit(True))
@@ -250,5 +247,6 @@ def defects(calls: DataFrame, prompt: str = "prompt_preview", response: str = "r
         )
     )
     told = judged.select(*keys, F.explode(kinds).alias("defect"))
-    cut = truncation.cut_texts(calls, [response], [], keys, source).where("cut").select(*keys, F.lit("truncated").alias("defect"))
+    responses = each.where("m0 is not null").select(*keys, "source", F.lit(response).alias("field"), "verdict", F.col("last").alias("opening"), F.array(*sizes).alias("sizes"), "print")
+    cut = truncation.cut_of(responses, each, [], keys).where("cut").select(*keys, F.lit("truncated").alias("defect"))
     return told.unionByName(cut)

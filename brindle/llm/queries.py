@@ -36,6 +36,14 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The storage limits of each source and field: the measure, the length and how many different texts end there."""
+    calls = spread(_calls(spark, sf_dir).select("run_id", "id", "source", *PREVIEWS), "run_id", "id")
+    found = truncation.limits(truncation.judged_texts(calls, PREVIEWS, ["chunk_preview"]))
+    names = F.array(*[F.lit(m) for m in truncation.MEASURES])
+    return found.select("source", "field", F.get(names, F.col("m")).alias("measure"), "size", "texts")
+
+
 def _shown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(origin, record_key, text) of every fetched page and every page text given to a model."""
     pages = table(spark, sf_dir, "pages").where("ok").select(F.lit("pages").alias("origin"), F.col("page_id").cast("string").alias("record_key"), F.col("html").alias("text"))
@@ -98,6 +106,6 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treated.groupBy("subject").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_texts": p5_texts, "p6_found": p6_found, "p6_by_task": p6_by_task, "p7_ids": p7_ids, "p8_found": p8_found, "p8_stretches": p8_stretches, "p9_found": p9_found, "p9_composition": p9_composition}
+QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p3_limits": p3_limits, "p5_found": p5_found, "p5_texts": p5_texts, "p6_found": p6_found, "p6_by_task": p6_by_task, "p7_ids": p7_ids, "p8_found": p8_found, "p8_stretches": p8_stretches, "p9_found": p9_found, "p9_composition": p9_composition}
 
 SQL: dict = {}

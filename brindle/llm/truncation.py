@@ -2,7 +2,7 @@
 
 Two kinds of evidence are joined. Storage limits: the length of each text is
 recomputed under several measures (characters, UTF-8 bytes, UTF-16 units, HTML
-entities, JSON escapes, CRLF line ends), and a length at which several texts of a
+entities, JSON escapes with and without characters beyond ASCII, CRLF line ends), and a length at which several texts of a
 source end while none is longer, or clearly more end unfinished than at the lengths
 around it, is a limit of that source and field, of which there may be several. Endings: a
 text that ends within a word, a sentence or a JSON value, or with a sign of cutting,
@@ -18,7 +18,6 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from brindle.sources.scratch import Scratch
 
@@ -116,26 +115,32 @@ def opening_of(line: str) -> str:
     return " ".join(words[:2]) if len(words) > 2 else ""
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """Lengths of a text as different stores would count it."""
-    n = F.length(text)
+#: The measures of a text's length, in the order of `lengths`.
+MEASURES = ["characters", "utf8_bytes", "utf16_units", "html_escaped", "json_escaped", "json_ascii", "crlf_lines"]
+_CONTROL = re.compile(r"[\x00-\x07\x0b\x0e-\x1f]")
 
-    def count(chars: str) -> Column:
-        return n - F.length(F.translate(text, chars, ""))
 
-    newline = count("\n")
-    return {
-        "characters": n,
-        "utf8_bytes": F.octet_length(text),
-        "utf16_units": (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int"),
-        "html_escaped": n + 4 * count("&") + 3 * count("<>") + 5 * count('"'),
-        "json_escaped": n + count('"\\\n\r\t'),
-        "crlf_lines": n + newline,
-    }
+def lengths(text: str) -> list[int]:
+    """The length of a text as different stores would count it (see MEASURES).
+
+    HTML escapes `& < > " '`; JSON escapes quotes, backslashes and control characters,
+    and in its ASCII form every other character beyond ASCII (two escapes for one
+    beyond the basic plane).
+    """
+    n, count = len(text), text.count
+    newlines = count("\n")
+    html = n + 4 * count("&") + 3 * (count("<") + count(">")) + 5 * count('"') + 4 * count("'")
+    json = n + count('"') + count("\\") + newlines + count("\r") + count("\t") + count("\b") + count("\f") + 5 * len(_CONTROL.findall(text))
+    if text.isascii():
+        return [n, n, n, html, json, json, n + newlines]
+    utf8 = len(text.encode("utf-8", "surrogatepass"))
+    utf16 = len(text.encode("utf-16-le", "surrogatepass")) // 2
+    beyond = n - len(text.encode("ascii", "ignore"))
+    return [n, utf8, utf16, html, json, json + 5 * beyond + 6 * (utf16 - n), n + newlines]
 
 
 def limits(sized: DataFrame, reach: int = 64) -> DataFrame:
-    """(source, field, m, size) of all limits under measure m: a source may change its limits, so there may be several.
+    """(source, field, m, size, texts) of all limits under measure m, with the number of different texts that end there: a source may change its limits, so there may be several.
 
     A limit is the greatest length of a source's field, where two different texts end
     there, and every length at which clearly more different texts end unfinished than
@@ -144,7 +149,7 @@ def limits(sized: DataFrame, reach: int = 64) -> DataFrame:
     """
     cells = ["source", "field", "m"]
     texts = sized.select("source", "field", "print", "sizes", "verdict").distinct()
-    sizes = texts.select("source", "field", "verdict", F.posexplode("sizes").alias("m", "size")).where(F.col("size") >= 64)
+    sizes = texts.select("source", "field", "verdict", F.posexplode("sizes").alias("m", "size"))
     counted = sizes.groupBy(*cells, "size").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") != WHOLE).alias("unfinished"), F.count_if(F.col("verdict") == CUT).alias("cut"))
     # The windows run over lengths, not texts: a group has as many rows as different lengths.
     around = Window.partitionBy(*cells).orderBy("size").rangeBetween(-reach, reach)
@@ -152,7 +157,7 @@ def limits(sized: DataFrame, reach: int = 64) -> DataFrame:
     n = F.col("unfinished")
     odds = F.when(n > F.col("rate"), n * (F.log(n / F.col("rate")) - 1) + F.col("rate")).otherwise(0.0)
     found = (F.col("size") == F.col("top")) & (F.col("n") >= 2) | (odds >= 12) & (F.col("cut") >= 1) | (odds >= 9) & (F.col("cut") >= 2)
-    return rated.where(found).select(*cells, "size")
+    return rated.where(found).select(*cells, "size", F.col("n").alias("texts"))
 
 
 def openings(pages: Column, whole: bool) -> Column:
@@ -163,6 +168,27 @@ def openings(pages: Column, whole: bool) -> Column:
     return F.regexp_extract_all(pages, F.lit(rf"(?m){start}([^\s#|\[]\S* \S+)(?: {rest})?{tail}"), F.lit(1))
 
 
+def judged_texts(events: DataFrame, fields: list[str], page_fields: list[str], keys: tuple[str, ...] = ("run_id", "id"), source: str = "source") -> DataFrame:
+    """(keys, source, field, verdict, opening, sizes, print) of every non-null text of the fields: its ending, its length under each measure, its hash."""
+    base = events.select(*keys, F.col(source).alias("source"), *fields)
+    measured = [f"m{k} int" for k in range(len(MEASURES))]
+
+    def judged(field: str) -> Column:
+        page = field in page_fields
+
+        @F.pandas_udf(", ".join(["verdict string", "opening string", *measured]))
+        def verdict(texts: pd.Series, hosts: pd.Series) -> pd.DataFrame:
+            rows = [(*ending(t, page, h), *(lengths(t) if t is not None else [None] * len(MEASURES))) for t, h in zip(texts, hosts)]
+            columns = ["verdict", "opening", *[f"m{k}" for k in range(len(MEASURES))]]
+            return pd.DataFrame(rows, columns=columns).astype({c: "Int32" for c in columns[2:]})
+
+        return verdict(F.col(field), F.col("source"))
+
+    texts = F.array(*[F.struct(F.lit(f).alias("field"), judged(f).alias("j"), F.xxhash64(f).alias("print"), F.col(f).isNotNull().alias("given")) for f in fields])
+    sizes = F.array(*[F.col(f"v.j.m{k}") for k in range(len(MEASURES))]).alias("sizes")
+    return base.select(*keys, "source", F.explode(texts).alias("v")).where("v.given").select(*keys, "source", "v.field", "v.j.verdict", "v.j.opening", sizes, "v.print")
+
+
 def cut_texts(events: DataFrame, fields: list[str], page_fields: list[str], keys: tuple[str, ...] = ("run_id", "id"), source: str = "source") -> DataFrame:
     """(keys, source, field, cut) of every non-null text of the fields, once for each event.
 
@@ -171,25 +197,12 @@ def cut_texts(events: DataFrame, fields: list[str], page_fields: list[str], keys
     gives an empty result.
     """
     base = events.select(*keys, F.col(source).alias("source"), *fields)
-    shape = T.StructType([T.StructField("verdict", T.StringType()), T.StructField("opening", T.StringType())])
+    verdicts = Scratch(events.sparkSession, "cut").keep(judged_texts(events, fields, page_fields, keys, source))
+    return cut_of(verdicts, base, page_fields, keys)
 
-    def judged(field: str) -> Column:
-        page = field in page_fields
-
-        @F.pandas_udf(shape)
-        def verdict(texts: pd.Series, hosts: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([ending(t, page, h) for t, h in zip(texts, hosts)], columns=shape.names)
-
-        return verdict(F.col(field), F.col("source"))
 
-    verdicts = base.select(
-        *keys, "source",
-        F.explode(F.array(*[
-            F.struct(F.lit(f).alias("field"), judged(f).alias("j"), F.array(*measures(F.col(f)).values()).alias("sizes"), F.xxhash64(f).alias("print"), F.col(f).isNotNull().alias("given"))
-            for f in fields
-        ])).alias("v"),
-    ).where("v.given").select(*keys, "source", "v.field", "v.j.verdict", "v.j.opening", "v.sizes", "v.print")
-    verdicts = Scratch(events.sparkSession, "cut").keep(verdicts)
+def cut_of(verdicts: DataFrame, base: DataFrame, page_fields: list[str], keys: tuple[str, ...]) -> DataFrame:
+    """`cut_texts` of texts that are judged already; `base` has the page fields themselves."""
     bound = limits(verdicts)
     undecided = verdicts.where(F.col("verdict") == OPEN)
     at = (
