@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,23 +49,39 @@ def truth(text: Column) -> Column:
     return F.lower(F.trim(text)).isin("1", "true", "yes", "on")
 
 
-def split_text(text: str | None, size: int, overlap: int) -> list[str]:
-    """Overlapping chunks that end at a paragraph, else a sentence, past the middle of the window, else at its end.
+#: What a chunk preferably ends before, else behind, in this order.
+PARAGRAPH = "\n\n"
+SENTENCE_ENDS = (". ", ".\n", "? ", "! ")
+
+
+def chunk_bounds(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of the chunks of a text longer than `size`.
 
-    None gives none, a short text itself. The overlap must be less than half the size.
+    Every place where a chunk may end is found first, for the whole text; each window
+    then takes its last paragraph, else the last end of the first kind of sentence
+    end that it has past its middle, else all of it.
     """
+    kinds = [[m.start() for m in re.finditer(f"(?={re.escape(PARAGRAPH)})", text)]]
+    kinds += [[m.start() for m in re.finditer(f"(?={re.escape(end)})", text)] for end in SENTENCE_ENDS]
+    marks = [PARAGRAPH, *SENTENCE_ENDS]
+    bounds, start = [], 0
+    while len(text) - start > size:
+        end = start + size
+        for mark, places in zip(marks, kinds):
+            last = bisect_right(places, start + size - len(mark)) - 1
+            if last >= 0 and places[last] > start + size // 2:
+                end = places[last] + (0 if mark is PARAGRAPH else len(mark))
+                break
+        bounds.append((start, end))
+        start = max(start + 1, end - overlap)
+    return [*bounds, (start, len(text))]
+
+
+def split_text(text: str | None, size: int, overlap: int) -> list[str]:
+    """Overlapping chunks; None gives none, a short text itself. The overlap must be less than half the size."""
     if text is None:
         return []
-    out, start, n = [], 0, len(text)
-    while n - start > size:
-        middle, stop = start + size // 2, start + size
-        cut = text.rfind("\n\n", start, stop)
-        if cut <= middle:
-            ends = ((text.rfind(s, start, stop), len(s)) for s in (". ", ".\n", "? ", "! "))
-            cut = next((at + k for at, k in ends if at > middle), stop)
-        out.append(text[start:cut])
-        start = max(start + 1, cut - overlap)
-    return [*out, text[start:]]
+    return [text] if len(text) <= size else [text[a:b] for a, b in chunk_bounds(text, size, overlap)]
 
 
 def chunks(text: Column, size: int = 4000, overlap: int = 400) -> Column:

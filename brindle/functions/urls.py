@@ -64,16 +64,30 @@ def is_navigable(href: Column) -> Column:
     return (h != "") & ~h.startswith("#") & ((scheme(h) == "") | scheme(h).isin("http", "https"))
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its `.` and `..` segments resolved; what leads above the root is dropped."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    start = F.slice(parts, 1, 0)
+    kept = F.reduce(parts, start, lambda out, p: F.when(p == ".", out).when(p == "..", F.when(F.size(out) > 1, F.slice(out, 1, F.size(out) - 1)).otherwise(out)).otherwise(F.concat(out, F.array(p))))
+    closed = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), F.array_join(closed, "/")).otherwise(path)
+
+
 def absolute(href: Column, base: Column) -> Column:
-    """A link made absolute: absolute, scheme-relative, root-relative, query-only and path-relative links."""
+    """A link made absolute: absolute, scheme-relative, root-relative, query-only, path-relative and empty links, dot segments resolved."""
     origin = F.concat(_part(base, 1), F.lit("://"), host(base))
     folder = F.regexp_replace(_part(base, 3), r"[^/]*$", "")
+    tail = F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    bare = F.regexp_extract(href, r"^([^?#]*)", 1)
     return (
         F.when(scheme(href) != "", href)
+        .when(href == "", F.regexp_replace(base, r"#.*$", ""))
         .when(href.startswith("//"), F.concat(_part(base, 1), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin, href))
+        .when(href.startswith("/"), F.concat(origin, without_dots(bare), tail))
         .when(href.startswith("?"), F.concat(origin, _part(base, 3), href))
-        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), href))
+        .when(href.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), href))
+        .otherwise(F.concat(origin, without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), bare)), tail))
     )
 
 

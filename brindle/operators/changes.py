@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text, urls
 
 
 def fetches(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, ok, hash, latest, earlier): each fetch with the order of its url's fetches, newest 1.
+    """(page_id, url, host, status_code, ok, hash, nth, earlier): the newest fetch of each url (nth 1) with the hash of the one before it, and that one (nth 2).
 
-    The hash is null for pages without HTML. A url's fetches are few, but a hot url
-    is only sorted, never gathered.
+    The hash is null for pages without HTML. The rank is limited, so that every task
+    sends at most two rows of a url however many fetches it has.
     """
     w = Window.partitionBy("url").orderBy(F.col("fetched_at").desc(), F.col("page_id").desc())
     hashed = pages.select(
         "page_id", "url", "fetched_at", "status_code", "ok", urls.host(F.col("url")).alias("host"), text.content_hash(text.plain_text(F.col("html"))).alias("hash")
     )
-    return hashed.withColumn("nth", F.row_number().over(w)).withColumn("earlier", F.lead("hash").over(w))
+    newest = hashed.withColumn("nth", F.row_number().over(w)).where("nth <= 2")
+    return newest.withColumn("earlier", F.lead("hash").over(w))
 
 
 def changed_pages(pages: DataFrame) -> DataFrame:
@@ -27,18 +28,21 @@ def changed_pages(pages: DataFrame) -> DataFrame:
     return newest.where("earlier is null or earlier <> hash").select("url", "page_id", "hash")
 
 
-def snapshot(pages: DataFrame, root_hash: Column | None = None) -> DataFrame:
-    """(host, pages, snapshot_hash): one hash over the sorted (url, hash) pairs of each host's newest pages and its root's hash.
+def snapshot(pages: DataFrame) -> DataFrame:
+    """(host, pages, snapshot_hash): one hash over the (url, hash) pairs of each host's newest pages and its root's hash.
 
-    The hash doesn't depend on the order of the rows. It is taken over canonical
-    JSON that keeps a null root.
+    It doesn't depend on the order of the rows. The pairs are hashed in 4,096 blocks,
+    told by the first digits of the url's own hash, as sorted canonical JSON; then the
+    sorted blocks and the root (null without one) are. So no task holds a whole host.
     """
     newest = fetches(pages).where("nth = 1 and hash is not null")
-    root = F.max(F.when(urls.path(F.col("url")).isin("", "/"), F.col("hash")))
-    pairs = F.array_sort(F.collect_list(F.array("url", "hash")))
-    grouped = newest.groupBy("host").agg(F.count("*").alias("pages"), pairs.alias("p"), root.alias("root"))
+    root = F.max(F.when(urls.path(F.col("url")).isin("", "/"), F.col("hash"))).alias("root")
+    blocks = newest.groupBy("host", F.left(F.sha2("url", 256), F.lit(3)).alias("block")).agg(
+        F.count("*").alias("pages"), F.sha2(F.to_json(F.array_sort(F.collect_list(F.array("url", "hash")))), 256).alias("hash"), root
+    )
+    whole = blocks.groupBy("host").agg(F.sum("pages").alias("pages"), F.array_sort(F.collect_list(F.array("block", "hash"))).alias("p"), F.max("root").alias("root"))
     canonical = F.to_json(F.struct(F.col("p").alias("pages"), F.col("root").alias("root_hash")), {"ignoreNullFields": "false"})
-    return grouped.select("host", "pages", F.sha2(canonical, 256).alias("snapshot_hash"))
+    return whole.select("host", "pages", F.sha2(canonical, 256).alias("snapshot_hash"))
 
 
 def refresh_plan(pages: DataFrame, probability: float = 0.05) -> DataFrame:
@@ -65,3 +69,21 @@ def refresh_plan(pages: DataFrame, probability: float = 0.05) -> DataFrame:
         .otherwise("incremental")
     )
     return per_host.select("host", "pages", "failed", "changed", mode.alias("mode"))
+
+
+def unchanged_hosts(pages: DataFrame) -> DataFrame:
+    """(host, unchanged): whether every page of a host that had a hash before has it still; true where no page had one."""
+    newest = fetches(pages).where("nth = 1")
+    same = F.when(F.col("earlier").isNotNull(), F.coalesce(F.col("hash") == F.col("earlier"), F.lit(False)))
+    return newest.groupBy("host").agg(F.coalesce(F.bool_and(same), F.lit(True)).alias("unchanged"))
+
+
+def reusable(items: DataFrame, newest: DataFrame, cached: DataFrame) -> DataFrame:
+    """The items (with url and item) whose page has the hash it had before and that the cache (item) holds: they need no new extraction."""
+    same = newest.where("hash = earlier").select("url")
+    return items.join(same, "url", "left_semi").join(cached.select("item").distinct(), "item", "left_semi")
+
+
+def known_but_unseen(known: DataFrame, discovered: DataFrame, cached: DataFrame, key: str) -> DataFrame:
+    """The known items that this run didn't discover, but the cache holds: they are appended to what it found."""
+    return known.join(discovered.select(key).distinct(), key, "left_anti").join(cached, key)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators import positions
+
 
 def once(events: DataFrame, columns: list[str]) -> DataFrame:
     """Each event (run_id, id) once; of rows delivered again the one taken in first, by ingested_at."""
@@ -38,8 +40,8 @@ def task_summary(events: DataFrame) -> DataFrame:
 
 def checkpoints(events: DataFrame, first: int = 3, every: int = 10) -> DataFrame:
     """(run_id, id, n): the events at which a run's log is written: each of the first ones, then every tenth."""
-    n = F.row_number().over(Window.partitionBy("run_id").orderBy("id"))
-    return events.select("run_id", "id", n.alias("n")).where((F.col("n") <= first) | (F.col("n") % every == 0))
+    n = positions.numbered(events.select("run_id", "id"), ["run_id"], [F.col("id")])
+    return n.where((F.col("n") <= first) | (F.col("n") % every == 0))
 
 
 def display_line() -> Column:

@@ -90,3 +90,29 @@ def common_prefix(urls_of: DataFrame, group: str, path: str) -> DataFrame:
     same = F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at("lo", i) == F.element_at("hi", i))
     length = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, n)
     return ends.select(group, F.array_join(F.slice("lo", 1, length.cast("int")), "/").alias("prefix"))
+
+
+def end_date(start: Column, end: Column, duration: Column) -> Column:
+    """A record's own end, else the last day of as many days (P3D) as it takes from its start; hours and minutes end on the day they start."""
+    day = F.left(start, F.lit(10)).try_cast("date")
+    days = F.regexp_extract(duration, r"^P(\d+)D$", 1).try_cast("int")
+    counted = F.when(days.isNotNull() & day.isNotNull(), F.date_add(day, days - 1).cast("string")).when(duration.rlike(r"^PT\d+[HM]$"), F.left(start, F.lit(10)))
+    return F.coalesce(end, counted)
+
+
+def doi(text: Column) -> Column:
+    """The DOI in a text or address, if any."""
+    return F.nullif(F.regexp_extract(text, r"\b(10\.\d{4,9}/[^\s\"'<>]*[^\s\"'<>.,;)])", 1), F.lit(""))
+
+
+def is_online(mode: Column, location: Column) -> Column:
+    """Whether any of a record's modes (an array) or its place (VARIANT) says that it is held online."""
+    by_mode = F.exists(F.coalesce(mode, F.array().cast("array<string>")), lambda m: F.lower(m).isin("online", "virtual", "remote"))
+    return by_mode | F.coalesce(F.try_variant_get(location, '$["@type"]', "string") == "VirtualLocation", F.lit(False))
+
+
+def flat_location(location: Column) -> Column:
+    """STRUCT<venue, city, country, latitude, longitude> of a place (VARIANT): what isn't given is null, blanks count as not given."""
+    paths = {"venue": "$.name", "city": "$.address.addressLocality", "country": "$.address.addressCountry", "latitude": "$.geo.latitude", "longitude": "$.geo.longitude"}
+    given = {n: F.nullif(F.trim(F.try_variant_get(location, p, "string")), F.lit("")) for n, p in paths.items()}
+    return F.struct(*[(c.try_cast("double") if n in ("latitude", "longitude") else c).alias(n) for n, c in given.items()])

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text, urls
-from brindle.operators import changes, events, links, records, store
-from brindle.plans import extraction
+from brindle.operators import changes, events, links, positions, records, store
 from brindle.sources.tables import spread, table
 
 NOISE_SQL = "html"
@@ -36,7 +35,8 @@ def _names(words: list[str]) -> str:
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages")
+    """The fetched pages; their HTML is worked on by expressions that take long, so that every core gets some."""
+    return spread(table(spark, d, "pages"), "page_id")
 
 
 def once(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -130,6 +130,14 @@ def crawl_frontier(spark: SparkSession, d: str) -> DataFrame:
     return links.crawl(edges, starts.select("url"), 2).groupBy("start", "depth").agg(F.count("*").alias("pages"))
 
 
+def crawl_order(spark: SparkSession, d: str) -> DataFrame:
+    """The first twenty pages of a crawl from each site's first fetched page, two links deep, each link followed before the next."""
+    seen = pages(spark, d).where("ok").select("page_id", "url", "html")
+    edges = links.followable(links.page_links(seen)).select(F.col("url").alias("source"), "target", F.col("pos").cast("long").alias("pos"))
+    starts = seen.groupBy(urls.host(F.col("url")).alias("host")).agg(F.min("url").alias("url"))
+    return links.crawl_in_order(edges, starts.select("url"))
+
+
 def start_addresses(spark: SparkSession, d: str) -> DataFrame:
     """Each site's own address, then those of its newest cache rows, the first 200."""
     own = table(spark, d, "sites").select(urls.host(F.col("url")).alias("host"), "url", F.lit(0).alias("priority"), F.lit(0).cast("long").alias("pos"))
@@ -187,7 +195,7 @@ def latest_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def waiting_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return store.waiting(table(spark, d, "sessions")).select("id", "user_id", "url", "status")
+    return store.waiting(table(spark, d, "sessions").select("id", "user_id", "url", "status", "log")).select("id", "user_id", "url", "status", "place")
 
 
 def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -241,8 +249,10 @@ def best_records(spark: SparkSession, d: str) -> DataFrame:
 def reused_records(spark: SparkSession, d: str) -> DataFrame:
     """Records of runs whose address an earlier run had extracted under the same name: the earlier record can be used again."""
     rows = table(spark, d, "results").where("url is not null").select("record_id", "run_id", "url", "name", "extracted_at")
-    w = Window.partitionBy("url", "name").orderBy("extracted_at", "record_id")
-    return rows.withColumn("earlier", F.first("record_id").over(w)).where("earlier <> record_id").select("record_id", "earlier")
+    first = rows.groupBy("url", "name").agg(F.min_by("record_id", F.struct("extracted_at", "record_id")).alias("earlier"))
+    first = first.withColumnsRenamed({"url": "url_f", "name": "name_f"})
+    met = rows.join(first, (F.col("url") == F.col("url_f")) & F.col("name").eqNullSafe(F.col("name_f")))
+    return met.where("earlier <> record_id").select("record_id", "earlier")
 
 
 def relevant_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -258,11 +268,8 @@ def carried_context(spark: SparkSession, d: str) -> DataFrame:
     """What each page text inherits from the one before it in its run: that text's first sentence."""
     calls = once(spark, d, "type", "chunk_preview").where("type = 'llm_call' and chunk_preview <> ''")
     first = F.nullif(F.regexp_extract("chunk_preview", r"([A-Z][^.!?\n]{10,200}[.!?])", 1), F.lit(""))
-    return calls.select("run_id", "id", F.lag(first).over(Window.partitionBy("run_id").orderBy("id")).alias("context"))
-
-
-def extracted_records(spark: SparkSession, d: str) -> DataFrame:
-    return extraction.extract_records(spread(pages(spark, d).select("page_id", "url", "ok", "html"), "page_id")).withColumn("errors", F.array_join("errors", "; "))
+    placed = positions.carried(calls.select("run_id", "id", first.alias("first")), ["run_id"], ["id"], F.struct("first"), "before")
+    return placed.select("run_id", "id", F.col("before.first").alias("context"))
 
 
 def site_summaries(spark: SparkSession, d: str) -> DataFrame:
@@ -310,12 +317,13 @@ def structure_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def record_pages(spark: SparkSession, d: str) -> DataFrame:
-    """The newest fetch of each record's own address, else of its site's first page: what the record would be read from."""
+    """What each record would be read from: the newest fetch of its own address, else of the address its run started from, else none (-1)."""
     newest = changes.fetches(pages(spark, d)).where("nth = 1 and ok")
     own = newest.select("url", F.col("page_id").alias("own"))
-    site = newest.groupBy("host").agg(F.min_by("page_id", "url").alias("site"))
-    wanted = table(spark, d, "results").select("record_id", "url").withColumn("host", urls.host(F.col("url")))
-    return wanted.join(own, "url", "left").join(site, "host", "left").select("record_id", F.coalesce("own", "site", F.lit(-1).cast("long")).alias("page_id"))
+    source = newest.select(F.col("url").alias("source_url"), F.col("page_id").alias("source"))
+    starts = table(spark, d, "sessions").select(F.concat(F.lit("run-"), F.col("id").cast("string")).alias("run_id"), F.col("url").alias("source_url"))
+    wanted = table(spark, d, "results").select("record_id", "run_id", "url").join(starts, "run_id", "left")
+    return wanted.join(own, "url", "left").join(source, "source_url", "left").select("record_id", F.coalesce("own", "source", F.lit(-1).cast("long")).alias("page_id"))
 
 
 def users_by_identifier(spark: SparkSession, d: str) -> DataFrame:
@@ -326,10 +334,10 @@ def users_by_identifier(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     page_content_hash, site_snapshot_hash, extraction_plan, changed_pages, document_content_hash_dups, page_links, distinct_links, followable_links,
-    non_content_urls, faceted_urls, url_parts, host_page_counts, common_path_prefix, crawl_frontier, start_addresses, head_tail_excerpt, chunk_documents,
+    non_content_urls, faceted_urls, url_parts, host_page_counts, common_path_prefix, crawl_frontier, crawl_order, start_addresses, head_tail_excerpt, chunk_documents,
     join_chunks_with_limit, event_summary, event_summary_by_task, progress_checkpoints, console_lines, json_tolerant_parse, latest_sessions,
     waiting_sessions, cache_upsert, session_export, orphan_sessions, record_dedup, record_validation, validation_report, record_conventions,
-    record_normal_forms, best_records, reused_records, relevant_chunks, carried_context, extracted_records, users_by_identifier,
+    record_normal_forms, best_records, reused_records, relevant_chunks, carried_context, users_by_identifier,
     site_summaries, prompt_log, fetch_sizes, logged_sessions, structure_pages, record_pages,
 )}
 
@@ -367,9 +375,9 @@ _TAILS = ["?sort=date", "?Level=beginner&page=2", "?q=", "?page=3", "/?format=on
 
 SQL = {
     "page_content_hash": f"SELECT page_id, sha256({PLAIN_SQL}) AS hash, length({PLAIN_SQL}) AS chars FROM pages WHERE html IS NOT NULL",
-    "site_snapshot_hash": f"""SELECT host, count(*) AS pages, sha256('{{"pages":[' || string_agg('["' || url || '","' || hash || '"]', ',' ORDER BY url, hash) || '],"root_hash":' ||
-  coalesce('"' || max(CASE WHEN {_path('url')} IN ('', '/') THEN hash END) || '"', 'null') || '}}') AS snapshot_hash
-FROM ({FETCHES_SQL}) WHERE nth = 1 AND hash IS NOT NULL GROUP BY host""",
+    "site_snapshot_hash": f"""WITH b AS (SELECT host, left(sha256(url), 3) AS block, count(*) AS pages, sha256('[' || string_agg('["' || url || '","' || hash || '"]', ',' ORDER BY url, hash) || ']') AS hash,
+  max(CASE WHEN {_path('url')} IN ('', '/') THEN hash END) AS root FROM ({FETCHES_SQL}) WHERE nth = 1 AND hash IS NOT NULL GROUP BY 1, 2)
+SELECT host, CAST(sum(pages) AS BIGINT) AS pages, sha256('{{"pages":[' || string_agg('["' || block || '","' || hash || '"]', ',' ORDER BY block) || '],"root_hash":' || coalesce('"' || max(root) || '"', 'null') || '}}') AS snapshot_hash FROM b GROUP BY host""",
     "extraction_plan": f"""SELECT host, pages, failed, changed, CASE WHEN known = 0 THEN 'full_refresh' WHEN failed > 0 THEN 'incremental'
   WHEN ((instr('0123456789abcdef', substr(sha256(host), 1, 1)) - 1) * 16 + instr('0123456789abcdef', substr(sha256(host), 2, 1)) - 1) / 256 < 0.05 THEN 'full_refresh'
   WHEN changed = 0 THEN 'no_update' ELSE 'incremental' END AS mode
@@ -411,7 +419,7 @@ SELECT run_id, count(*) AS parts, left(string_agg(t, chr(10) || chr(10) || '---'
     "json_tolerant_parse": f"""SELECT task, CASE WHEN json_valid(response_preview) THEN 'whole' WHEN json_valid(nullif(regexp_extract(response_preview, '(?s)\\{{.*\\}}'), '')) THEN 'salvaged' ELSE 'none' END AS parsed,
   count(*) AS answers FROM ({ONCE_SQL}) WHERE type = 'llm_call' AND response_preview IS NOT NULL GROUP BY 1, 2""",
     "latest_sessions": "SELECT user_id, url, max(id) AS latest, coalesce(max(CASE WHEN status = 'done' THEN id END), -1) AS latest_done, coalesce(max(CASE WHEN status IN ('pending', 'running') THEN id END), -1) AS latest_active FROM sessions GROUP BY 1, 2",
-    "waiting_sessions": "SELECT id, user_id, url, status FROM sessions WHERE status = 'pending' OR (status = 'running' AND (log IS NULL OR trim(log) = '' OR (json_valid(log) AND json_array_length(log) = 0 AND trim(log) LIKE '[%')))",
+    "waiting_sessions": "SELECT id, user_id, url, status, row_number() OVER (ORDER BY id) AS place FROM sessions WHERE status = 'pending' OR (status = 'running' AND (log IS NULL OR trim(log) = '' OR (json_valid(log) AND json_array_length(log) = 0 AND trim(log) LIKE '[%')))",
     "cache_upsert": """SELECT url, arg_max(content_hash, (updated_at, id)) FILTER (WHERE content_hash IS NOT NULL) AS content_hash,
   sha256(arg_max(structural_summary, (updated_at, id)) FILTER (WHERE structural_summary IS NOT NULL)) AS summary_hash,
   epoch_us(arg_max(last_crawled_at, (updated_at, id)) FILTER (WHERE last_crawled_at IS NOT NULL)) AS last_crawled_us FROM metadata_cache GROUP BY 1""",
@@ -448,6 +456,6 @@ SELECT host, item_count, urls_hash, prefix FROM (SELECT host, count(*) AS item_c
     "structure_pages": f"""WITH st AS (SELECT {_url_part('url', 2)} AS host, arg_min(page_id, (url, page_id)) AS page_id FROM pages WHERE ok GROUP BY 1),
 l AS (SELECT host, target AS url, min(pos) AS pos FROM ({LINKS_SQL}) JOIN st USING (page_id) WHERE {_url_part('target', 2)} = host AND NOT {_non_content('target')} GROUP BY 1, 2)
 SELECT host, url, rank FROM (SELECT host, url, row_number() OVER (PARTITION BY host ORDER BY pos, url) AS rank FROM l) WHERE rank <= 7""",
-    "record_pages": f"""WITH n AS (SELECT * FROM ({FETCHES_SQL}) WHERE nth = 1 AND ok), s AS (SELECT host, arg_min(page_id, url) AS site FROM n GROUP BY 1)
-SELECT r.record_id, coalesce(n.page_id, s.site, -1) AS page_id FROM results r LEFT JOIN n ON n.url = r.url LEFT JOIN s ON s.host = {_url_part('r.url', 2)}""",
+    "record_pages": f"""WITH n AS (SELECT url, page_id FROM ({FETCHES_SQL}) WHERE nth = 1 AND ok)
+SELECT r.record_id, coalesce(n.page_id, m.page_id, -1) AS page_id FROM results r LEFT JOIN sessions s ON r.run_id = 'run-' || s.id LEFT JOIN n ON n.url = r.url LEFT JOIN n m ON m.url = s.url""",
 }

@@ -7,11 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from brindle.queries import core, problems
+from brindle.queries import core, problems, stored
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = {**core.QUERIES, **problems.QUERIES}
-SQL = {**core.SQL, **problems.SQL}
+QUERIES = {**core.QUERIES, **stored.QUERIES, **problems.QUERIES}
+SQL = {**core.SQL, **stored.SQL, **problems.SQL}
 
 
 def plain(value):
