@@ -276,33 +276,46 @@ def changes(
     )
 
 
-def canonical_names(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """(path, name): for each field that came by a rename the name it had first, over all origins.
+def canonical_names(found: DataFrame, scratch: Scratch, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, path, name): for each field that came by a rename the name it had first, in each group of `by`.
 
     Of several names before a rename the most frequent one holds (the first by name
     of equally frequent ones); of two names that replace each other the one that more
     often comes first does. Chains are followed to their ends, of names that replace
     one another in a circle the first by name is kept.
     """
-    edges = found.where("change = 'renamed'").groupBy("field", "new_field").agg(F.count("*").alias("n"))
-    first = edges.groupBy(F.col("new_field").alias("path")).agg(F.max_by("field", F.struct("n", F.col("field"))).alias("name"))
-    back = edges.select(F.col("field").alias("path"), F.col("new_field").alias("name"), F.col("n").alias("back"))
-    n_of = edges.select(F.col("new_field").alias("path"), F.col("field").alias("name"), "n")
-    links = first.join(n_of, ["path", "name"]).join(back, ["path", "name"], "left")
+    edges = found.where("change = 'renamed'").groupBy(*by, "field", "new_field").agg(F.count("*").alias("n"))
+    first = edges.groupBy(*by, F.col("new_field").alias("path")).agg(F.max_by("field", F.struct("n", F.col("field"))).alias("name"))
+    back = edges.select(*by, F.col("field").alias("path"), F.col("new_field").alias("name"), F.col("n").alias("back"))
+    n_of = edges.select(*by, F.col("new_field").alias("path"), F.col("field").alias("name"), "n")
+    links = first.join(n_of, [*by, "path", "name"]).join(back, [*by, "path", "name"], "left")
     # Two names that replace each other: the rarer direction is dropped.
-    links = links.where("back is null or n > back or (n = back and name < path)").select("path", "name")
+    links = links.where("back is null or n > back or (n = back and name < path)").select(*by, "path", "name")
     links = scratch.keep(links.withColumn("least", F.col("name")))
     # The way up doubles in each round, so that it is at the end of every chain after as many rounds as the number of links has bits.
     for _ in range(links.count().bit_length()):
-        up = links.select(F.col("path").alias("name"), F.col("name").alias("higher"), F.col("least").alias("least_up"))
-        met = links.join(up, "name", "left").select("path", F.coalesce("higher", "name").alias("name"), F.least("least", F.coalesce("least_up", "least")).alias("least"), (F.col("higher") != F.col("name")).alias("moved"))
+        up = links.select(*by, F.col("path").alias("name"), F.col("name").alias("higher"), F.col("least").alias("least_up"))
+        met = links.join(up, [*by, "name"], "left").select(*by, "path", F.coalesce("higher", "name").alias("name"), F.least("least", F.coalesce("least_up", "least")).alias("least"), (F.col("higher") != F.col("name")).alias("moved"))
         met = scratch.keep(met)
         links = met.drop("moved")
         if not met.where("moved").take(1):
             break
     # A name that still has a way up lies in a circle.
-    circles = links.select(F.col("path").alias("name"), F.col("least").alias("first"))
-    return links.drop("least").join(circles, "name", "left").select("path", F.coalesce("first", "name").alias("name")).where("path <> name")
+    circles = links.select(*by, F.col("path").alias("name"), F.col("least").alias("first"))
+    return links.drop("least").join(circles, [*by, "name"], "left").select(*by, "path", F.coalesce("first", "name").alias("name")).where("path <> name")
+
+
+def names_of_origins(held: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(origin, path, name) of the fields (origin, path) that bear another name in the one table.
+
+    An origin's own renames hold for it. Another origin's rename holds too, unless the
+    origin has a field of the first name itself: then the two are different fields.
+    """
+    own = canonical_names(found, scratch, ("origin",))
+    of_all = canonical_names(found, scratch).withColumnRenamed("name", "other")
+    taken = held.select("origin", F.col("path").alias("other"), F.lit(True).alias("taken"))
+    named = held.join(own, ["origin", "path"], "left").join(of_all, "path", "left").join(taken, ["origin", "other"], "left")
+    return named.select("origin", "path", F.coalesce("name", F.when(F.col("taken").isNull(), F.col("other"))).alias("name")).where("name is not null")
 
 
 def cast_text(value: str, kind: str, listed: bool = False) -> str:
@@ -338,12 +351,13 @@ def consistent_table(rows: DataFrame, found: DataFrame, text: str, origin: str,
     array where the text reads as one, any other value to an array of itself, else null.
     """
     scratch = Scratch(rows.sparkSession, "drift-table")
-    names = canonical_names(found, scratch)
     flat = flattened(rows, text, origin, seq, key, order, set(whole))
     kinds = KINDS
     values = flat.where("value is not null").select("order", "origin", "seq", "key", "path", *kinds, "value")
-    named = values.join(F.broadcast(names) if names.count() < 100_000 else names, "path", "left").withColumn("field", F.coalesce("name", "path")).withColumn("path_listed", F.col("path").contains("[]")).drop("name", "path")
-    named = scratch.keep(named)
+    values = scratch.keep(values)
+    names = scratch.keep(names_of_origins(values.select("origin", "path").distinct(), found, scratch))
+    names = F.broadcast(names) if names.count() < 100_000 else names
+    named = values.join(names, ["origin", "path"], "left").withColumn("field", F.coalesce("name", "path")).withColumn("path_listed", F.col("path").contains("[]")).drop("name", "path")
     most = F.greatest(*kinds)
     types = named.groupBy("field").agg(*[F.sum(k).alias(k) for k in kinds]).select("field", F.coalesce(*[F.when((F.col(k) == most) & (most > 0), F.lit(k)) for k in kinds], F.lit("string")).alias("type"))
     types = F.broadcast(types) if types.count() < 100_000 else types

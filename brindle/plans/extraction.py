@@ -75,9 +75,9 @@ def extract_records(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """(type, id, url, name, description, conforms_to, source_page, errors): one record for each item, first seen first.
 
     Items are distinct by title and address; addresses are made absolute; filters of
-    listings and pages without content are left out before items are kept. A record
-    with errors is repaired once (blank descriptions become its name) and kept in
-    any case, with what is still wrong.
+    listings and pages without content are left out before items are kept. Blank
+    descriptions become the record's name; a record is kept in any case, with what is
+    wrong with it.
     """
     scratch = Scratch(pages.sparkSession, "extract")
     items = scratch.keep(discover(page_chunks(pages), model or StandIn()))

@@ -49,6 +49,30 @@ def test_entry(spark):
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).count() >= 0
+#: Columns of the queries without SQL, and those that tell their rows apart.
+WITHOUT_SQL = {
+    "chunk_documents": ("doc_id of chunk_no chunk", ["doc_id", "chunk_no"]), "crawl_order": ("start url place", ["start", "place"]), "p1_found": ("record_id field pos value", ["record_id", "field", "pos"]),
+    "p4_found": ("origin file_seq field change new_field", ["origin", "file_seq", "field", "change"]), "p4_table": ("id origin file_seq url field type value", ["id", "field"]),
+    "page_markdown": ("page_id markdown hash links", ["page_id"]), "page_clean_html": ("page_id html links", ["page_id"]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
+def test_without_sql(spark, name):
+    columns, keys = WITHOUT_SQL[name]
+    df = QUERIES[name](spark, DATA)
+    assert df.columns == columns.split()
+    found = df.select(*keys).collect()
+    assert len(found) > 3 and len(set(found)) == len(found)
+
+
+def test_every_query_is_tested():
+    assert set(WITHOUT_SQL) == set(QUERIES) - set(SQL)
+
+
+def test_pages_as_markdown(spark):
+    """Every page's Markdown holds the words that it shows; what both modes link to is the same."""
+    shown = {r.page_id: r for r in QUERIES["page_markdown"](spark, DATA).collect()}
+    raw = {r.page_id: r for r in QUERIES["page_clean_html"](spark, DATA).collect()}
+    assert shown.keys() == raw.keys() and all(shown[k].links == raw[k].links for k in raw)
+    assert all("<" not in r.markdown.split("```")[0] or "&lt;" in raw[k].html or "<http" in r.markdown for k, r in shown.items())

@@ -120,6 +120,15 @@ def test_table(spark):
     assert counts == {str(k) for k in range(6)}
 
 
+def test_renames_of_one_origin(spark):
+    """Origin a renames n to m; b, which never had n, follows; c has fields of both names, which stay apart."""
+    a = {1: [{"n": f"x{k}", "i": k} for k in range(4)], 2: [{"m": f"x{k}", "i": k} for k in range(4)]}
+    b, c = {1: [{"m": f"y{k}"} for k in range(4)]}, {1: [{"m": f"z{k}", "n": k} for k in range(4)]}
+    df = spark.createDataFrame(rows_of(a) + rows_of(b, "b") + rows_of(c, "c"), SCHEMA)
+    one = consistent_table(df, changes(df), "structural_summary", "origin", "file_seq", "url", "id", ())
+    assert {(r.origin, r.field): r.n for r in one.groupBy("origin", "field").agg(F.count("*").alias("n")).collect()} == {("a", "n"): 8, ("a", "i"): 8, ("b", "n"): 4, ("c", "m"): 4, ("c", "n"): 4}
+
+
 def test_table_casts_lists_and_every_number(spark):
     files = {1: [{"n": k, "l": ["x"], "d": {}, "parts": [{"size": k}, {"size": 1}]} for k in range(4)], 2: [{"n": "1e5", "l": "y", "d": "z", "parts": [{"size": "7"}, {"size": None}, {"size": "big"}]}]}
     df = spark.createDataFrame(rows_of(files), SCHEMA)
