@@ -24,7 +24,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,27 +57,34 @@ _PLAIN_WORD = re.compile(r"[a-z]{2,}")
 _WORD = regex.compile(r"[\p{L}\p{M}]{2,}")
 
 
-@lru_cache(maxsize=200_000)
-def _term(word: str, buckets: int) -> int:
-    return xxh64_intdigest(word) % buckets
+class Terms(dict):
+    """The term of each word, kept for the words met so far."""
 
+    def __init__(self, buckets: int, kept: int = 500_000):
+        super().__init__()
+        self.buckets, self.kept = buckets, kept
 
-def hashed_sentences(text: str | None, buckets: int) -> list[list[int]]:
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.kept:
+            self.clear()
+        found = self[word] = xxh64_intdigest(word) % self.buckets
+        return found
+
+
+def hashed_sentences(text: str | None, terms: Terms) -> list[list[int]]:
     """The terms of each sentence of a text that has any, in order."""
-    out = []
-    for sentence in _SENTENCE.split((text or "").lower()):
-        words = _PLAIN_WORD.findall(sentence) if sentence.isascii() else _WORD.findall(sentence)
-        if words:
-            out.append([_term(w, buckets) for w in words])
-    return out
+    low = (text or "").lower()
+    find = _PLAIN_WORD.findall if low.isascii() else _WORD.findall
+    return [list(map(terms.__getitem__, words)) for sentence in _SENTENCE.split(low) if (words := find(sentence))]
 
 
 def _language_votes(buckets: int) -> np.ndarray:
     """buckets x languages: what each term's small words say of the language."""
     votes = np.zeros((buckets, len(SMALL_WORDS)), dtype=np.float32)
+    terms = Terms(buckets)
     for i, ws in enumerate(SMALL_WORDS.values()):
         for w in ws.split():
-            votes[_term(w, buckets), i] += 1
+            votes[terms[w], i] += 1
     return votes / np.maximum(votes.sum(1, keepdims=True), 1)
 
 
@@ -88,48 +94,58 @@ def prepared_texts(rows: DataFrame, buckets: int) -> DataFrame:
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others] + ["language int, sentences array<array<int>>"])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        votes = _language_votes(buckets)
+        votes, terms = _language_votes(buckets), Terms(buckets)
         for batch in batches:
-            found = [hashed_sentences(t, buckets) for t in batch.column("text").to_pylist()]
+            found = [hashed_sentences(t, terms) for t in batch.column("text").to_pylist()]
             kept = pa.array([i for i, f in enumerate(found) if f], pa.int64())
             found = [f for f in found if f]
-            sentences = pa.array(found, pa.list_(pa.list_(pa.int32())))
+            lengths = [len(s) for f in found for s in f]
+            flat = np.fromiter((x for f in found for s in f for x in s), dtype=np.int32, count=sum(lengths))
+            inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths], dtype=np.int32)), pa.array(flat))
+            sentences = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)], dtype=np.int32)), inner)
             language = np.zeros((len(found), votes.shape[1] + 1), dtype=np.float64)
-            if found:
-                terms = sentences.flatten().flatten().to_numpy()
-                in_doc = np.repeat(np.arange(len(found)), [sum(map(len, f)) for f in found])
-                for j in range(votes.shape[1]):
-                    language[:, j] = np.bincount(in_doc, weights=votes[terms, j], minlength=len(found))
-                language[:, -1] = (language.max(1) <= 0) * 1.0
-            told = language.argmax(1).astype(np.int32) if found else np.zeros(0, dtype=np.int32)
+            in_doc = np.repeat(np.arange(len(found)), [sum(map(len, f)) for f in found])
+            for j in range(votes.shape[1]):
+                language[:, j] = np.bincount(in_doc, weights=votes[flat, j], minlength=len(found))
+            language[:, -1] = (language.max(1, initial=0) <= 0) * 1.0
+            told = language.argmax(1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*[batch.column(c).take(kept) for c in others], pa.array(told), sentences], names=[*others, "language", "sentences"])
 
     return rows.mapInArrow(hashed, schema)
 
 
+def _blocks(rows: np.ndarray, columns: np.ndarray, value: np.ndarray, n: int, m: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows, columns used, dense block) of a sparse n x m matrix whose entries come by rows; nothing where it is too thinly filled for that."""
+    used = np.flatnonzero(np.bincount(columns, minlength=m))
+    if len(rows) * 60 <= n * len(used):
+        return
+    place = np.zeros(m, dtype=np.int64)
+    place[used] = np.arange(len(used))
+    at = place[columns]
+    step = max(1, 1_000_000 // len(used))
+    for a in range(0, n, step):
+        b = min(a + step, n)
+        lo, hi = np.searchsorted(rows, [a, b])
+        filled = np.bincount((rows[lo:hi] - a) * len(used) + at[lo:hi], weights=value[lo:hi], minlength=(b - a) * len(used))
+        yield slice(a, b), used, filled.astype(np.float32).reshape(b - a, len(used))
+
+
 def _times(rows: np.ndarray, columns: np.ndarray, value: np.ndarray, n: int, right: np.ndarray) -> np.ndarray:
-    """The product of a sparse matrix of n rows, given by its entries, with a dense one; dense inside where it is well filled."""
+    """The product of a sparse matrix of n rows, given by its entries, with a dense one."""
     out = np.zeros((n, right.shape[1]), dtype=np.float32)
     if not len(rows):
         return out
-    used, at = np.unique(columns, return_inverse=True)
-    if len(rows) * 60 > n * len(used):
-        step = max(1, 4_000_000 // len(used))
-        order = np.argsort(rows, kind="stable") if (rows[1:] < rows[:-1]).any() else slice(None)
-        rows, at, value = rows[order], at[order], value[order]
-        for a in range(0, n, step):
-            lo, hi = np.searchsorted(rows, [a, min(a + step, n)])
-            m = min(a + step, n) - a
-            filled = np.bincount((rows[lo:hi] - a) * len(used) + at[lo:hi], weights=value[lo:hi], minlength=m * len(used)).astype(np.float32)
-            out[a : a + m] = filled.reshape(m, len(used)) @ right[used]
-        return out
     if (rows[1:] < rows[:-1]).any():
         order = np.argsort(rows, kind="stable")
         rows, columns, value = rows[order], columns[order], value[order]
-    taken = np.take(right, columns, axis=0)
-    taken *= value[:, None]
     first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    out[rows[first]] = np.add.reduceat(taken, first, axis=0)
+    # In pieces that stay in the processor's cache.
+    cuts = np.unique(np.r_[np.searchsorted(first, np.arange(0, len(rows), 16_384)), len(first)])
+    for a, b in zip(cuts, cuts[1:]):
+        lo, hi = first[a], first[b] if b < len(first) else len(rows)
+        taken = np.take(right, columns[lo:hi], axis=0)
+        taken *= value[lo:hi, None]
+        out[rows[first[a:b]]] = np.add.reduceat(taken, first[a:b] - lo, axis=0)
     return out
 
 
@@ -163,7 +179,19 @@ class _Model:
         return sentence, slot, value, in_doc, n
 
     def embed(self, rows: np.ndarray, slot: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-        return _times(rows, slot, value, n, self.basis)
+        out, dense = np.zeros((n, self.s.rank), dtype=np.float32), False
+        for part, used, block in _blocks(rows, slot, value, n, len(self.active)):
+            out[part], dense = block @ self.basis[used], True
+        return out if dense else _times(rows, slot, value, n, self.basis)
+
+    def iterated(self, rows: np.ndarray, slot: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+        """The basis multiplied by the documents' matrix, each document at length one, and by its transpose."""
+        size = np.maximum(np.bincount(rows, weights=value * value, minlength=n), 1e-9)[:, None].astype(np.float32)
+        out, dense = np.zeros((len(self.active), self.s.rank), dtype=np.float32), False
+        for part, used, block in _blocks(rows, slot, value, n, len(self.active)):
+            out[used] += block.T @ (block @ self.basis[used] / size[part])
+            dense = True
+        return out if dense else _times(slot, rows, value, len(self.active), _times(rows, slot, value, n, self.basis) / size)
 
     def subjects(self, vectors: np.ndarray, subjects: int) -> np.ndarray:
         """rows x subjects: the best cosine to a centroid of each subject."""
@@ -233,10 +261,7 @@ def _decompose(prepared: DataFrame, model: _Model, s: Settings, before: _Model |
             out = np.zeros((len(m.active), m.s.rank))
             for batch in batches:
                 sentence, slot, value, in_doc, n = m.parts(batch.column("sentences"))
-                rows = in_doc[sentence]
-                y = m.embed(rows, slot, value, n)
-                y /= np.maximum(np.bincount(rows, weights=value * value, minlength=n), 1e-9)[:, None].astype(np.float32)
-                out += _times(slot, rows, value, len(m.active), y)
+                out += m.iterated(in_doc[sentence], slot, value, n)
             used = np.flatnonzero(out.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(out[used, k]) for k in range(m.s.rank)]], names=["slot", *names])
 
