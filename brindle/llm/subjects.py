@@ -52,8 +52,11 @@ class Settings:
     seed: int = 7
 
 
-_SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
+_SENTENCE = re.compile(r"[.?!]\s+")
 _PLAIN_WORD = re.compile(r"[a-z]{2,}")
+_LETTERS = re.compile(r"[^\W\d_]{2,}")
+#: Where combining marks lie, that the faster pattern would break words at.
+_MARKED = re.compile("[̀-ͯ҃-῿⃐-⃿꙯-꯿]")
 _WORD = regex.compile(r"[\p{L}\p{M}]{2,}")
 
 
@@ -73,8 +76,8 @@ class Terms(dict):
 
 def hashed_sentences(text: str | None, terms: Terms) -> list[list[int]]:
     """The terms of each sentence of a text that has any, in order."""
-    low = (text or "").lower()
-    find = _PLAIN_WORD.findall if low.isascii() else _WORD.findall
+    low = (text or "").lower().replace("\n", ".\n")
+    find = _PLAIN_WORD.findall if low.isascii() else _WORD.findall if _MARKED.search(low) else _LETTERS.findall
     return [list(map(terms.__getitem__, words)) for sentence in _SENTENCE.split(low) if (words := find(sentence))]
 
 
@@ -223,14 +226,25 @@ def _counts(assigned: DataFrame, s: Settings, subjects: int) -> np.ndarray:
     """buckets x subjects: documents of each subject that hold the term; `assigned` has subject and sentences."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(s.buckets * subjects, dtype=np.int64)
+        out = np.zeros((s.buckets, subjects), dtype=np.int64)
         for batch in batches:
-            sentences = batch.column("sentences")
+            sentences, subject = batch.column("sentences"), batch.column("subject").to_numpy()
+            terms = sentences.flatten().flatten().to_numpy(zero_copy_only=False)
             of_doc = np.diff(sentences.flatten().offsets.to_numpy()[sentences.offsets.to_numpy() - sentences.offsets[0].as_py()])
             doc = np.repeat(np.arange(len(sentences)), of_doc)
-            keys = np.unique(doc * s.buckets + sentences.flatten().flatten().to_numpy(zero_copy_only=False))
-            subject = batch.column("subject").to_numpy()[keys // s.buckets]
-            out += np.bincount((keys % s.buckets) * subjects + subject, minlength=len(out))
+            used = np.flatnonzero(np.bincount(terms, minlength=s.buckets))
+            if len(sentences) * len(used) <= 60 * len(terms):
+                place = np.zeros(s.buckets, dtype=np.int64)
+                place[used] = np.arange(len(used))
+                holds = np.zeros(len(sentences) * len(used), dtype=bool)
+                holds[doc * len(used) + place[terms]] = True
+                holds = holds.reshape(len(sentences), len(used))
+                for j in np.unique(subject):
+                    out[used, j] += holds[subject == j].sum(0)
+            else:
+                keys = np.unique(doc * s.buckets + terms)
+                np.add.at(out, (keys % s.buckets, subject[keys // s.buckets]), 1)
+        out = out.reshape(-1)
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["at", "n"])
 

@@ -1,6 +1,6 @@
 import random
 
-from brindle.llm.subjects import Settings, subject_areas
+from brindle.llm.subjects import Settings, Terms, hashed_sentences, subject_areas
 
 TOPICS = {
     "physics": "neutron photon magnet beam detector plasma laser muon wavefront spin".split(),
@@ -66,3 +66,11 @@ def test_empty(spark):
     assert subject_areas(none, areas, labels, settings=SETTINGS).count() == 0
     assert subject_areas(spark.createDataFrame([(1, "a text of words")], "doc_id long, text string"), areas.limit(0), labels, settings=SETTINGS).count() == 0
     subject_areas(spark.createDataFrame([(1, "a text of words")], "doc_id long, text string"), areas, labels, settings=SETTINGS).count()
+
+
+def test_terms():
+    terms = Terms(1 << 16, kept=3)
+    got = hashed_sentences("One two. Zwei über!\nÉtude नमस्ते a 12 — x3y", terms)
+    want = [["one", "two"], ["zwei", "über"], ["étude", "नमस्ते"]]
+    assert got == [[terms[w] for w in ws] for ws in want] and hashed_sentences(None, terms) == hashed_sentences(" .\n!", terms) == []
+    assert hashed_sentences("über", terms) == [[terms["über"]]] and len(terms) <= 3
