@@ -56,11 +56,12 @@ def clusters(texts: DataFrame, key: str = "text", size: int = 5, similarity: flo
     edges = edges.join(named.select(F.col("id").alias("a"), F.col(key).alias("ta")), "a").join(named.select(F.col("id").alias("b"), F.col(key).alias("tb")), "b")
     edges = scratch.keep(edges.select(F.col("ta").alias("a"), F.col("tb").alias("b")))
     both = scratch.keep(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = base.select(key, F.col(key).alias("cluster"))
+    labels, kept = base.select(key, F.col(key).alias("cluster")), edges
     while True:
         least = both.join(labels, both["b"] == labels[key]).groupBy(F.col("a").alias(key)).agg(F.min("cluster").alias("other"))
         after = scratch.keep(labels.join(least, key, "left").select(key, F.least("cluster", F.coalesce("other", "cluster")).alias("cluster"), (F.col("other") < F.col("cluster")).alias("moved")))
         moved = after.where("moved").take(1)
-        labels = after.select(key, "cluster")
+        scratch.drop(kept)
+        labels, kept = after.select(key, "cluster"), after
         if not moved:
             return labels

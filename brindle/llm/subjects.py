@@ -55,8 +55,9 @@ class Settings:
 _SENTENCE = re.compile(r"[.?!]\s+")
 _PLAIN_WORD = re.compile(r"[a-z]{2,}")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
-#: Where combining marks lie, that the faster pattern would break words at.
-_MARKED = re.compile("[̀-ͯ҃-῿⃐-⃿꙯-꯿]")
+#: The code points among which combining marks lie, that the faster pattern would break words at.
+_MARKS = ((0x300, 0x36F), (0x483, 0x1FFF), (0x20D0, 0x20FF), (0xA66F, 0xABFF))
+_MARKED = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _MARKS) + "]")
 _WORD = regex.compile(r"[\p{L}\p{M}]{2,}")
 
 
