@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import markup, text, urls
 from brindle.operators import changes, links, positions, records, store, validation
-from brindle.queries.core import FETCHES_SQL, LINKS_SQL, ONCE_SQL, SQL as CORE_SQL, _path, _url_part, once, pages
+from brindle.queries.core import FETCHES_SQL, LINKS_SQL, ONCE_SQL, SQL as CORE_SQL, _non_content, _url_part, _violations_sql, once, pages
 from brindle.sources.tables import spread, table
 
 STATES = ("pending", "running")
@@ -202,6 +202,33 @@ def carried_summaries(spark: SparkSession, d: str) -> DataFrame:
     return positions.carried(told.select("run_id", "id", line.alias("line")), ["run_id"], ["id"], F.col("line"), "carried").select("run_id", "id", "carried")
 
 
+LOGGED = ["id", "parent_id", "type", "message", "task", "model", "url", "status_code", "content_length", "title", "item_type", "item_name", "passed"]
+
+
+def event_json_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Each run's log as JSON lines in the order of its events, as it is written to a run's folder."""
+    logged = once(spark, d, *LOGGED[1:])
+    return logged.select("run_id", "id", F.to_json(F.struct(*LOGGED), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def run_results(spark: SparkSession, d: str) -> DataFrame:
+    """What a run's folder holds: its address, the number of its events and of its records, and how many of these are valid."""
+    judged = table(spark, d, "results").withColumn("e", records.violations())
+    results = judged.groupBy("run_id").agg(F.count("*").alias("records"), F.count_if(F.size("e") == 0).alias("valid"))
+    logged = once(spark, d, "type").groupBy("run_id").agg(F.count("*").alias("events"))
+    runs = sessions(spark, d).select(_run().alias("run_id"), "url")
+    zero = F.lit(0).cast("long")
+    joined = runs.join(logged, "run_id").join(results, "run_id", "left")
+    return joined.select("run_id", "url", "events", F.coalesce("records", zero).alias("records"), F.coalesce("valid", zero).alias("valid"))
+
+
+def chunk_links(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten links that a model named for each page text, taken before any is left out, and of those the ones that lead to pages with content."""
+    named = _answers(spark, d).select("run_id", "id", F.posexplode(F.slice(F.try_variant_get("answer", "$.navigation_links", "array<variant>"), 1, 10)).alias("pos", "l"))
+    target = F.coalesce(F.try_variant_get("l", "$.url", "string"), F.try_variant_get("l", "$", "string"))
+    return named.select("run_id", "id", "pos", target.alias("url")).where(F.col("url").isNotNull() & ~F.coalesce(urls.is_non_content(F.col("url")), F.lit(False)))
+
+
 def model_tiers(spark: SparkSession, d: str) -> DataFrame:
     """The calls of each task with the tier of the model that the task is meant for."""
     tier = F.when(F.col("task").isin(*SMALL_TASKS), "small").when(F.col("task").isin(*EMBEDDING_TASKS), "embedding").otherwise("large")
@@ -254,7 +281,7 @@ def record_end_dates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     sessions_of_runs, sessions_listed, users_listed, export_lines, sessions_updated, logs_appended, cancellations, users_after_revocation, filtered_sessions, orphan_writes,
     session_stamps, enqueue_plan, page_hash_maps, cached_item_types, known_unseen_items, reused_by_page_hash, hosts_unchanged, merged_page_hashes, first_summaries,
-    answer_defaults, carried_summaries, model_tiers, first_page_links, page_markdown, page_clean_html, record_schema_errors, author_schema_errors, records_mended, record_end_dates,
+    answer_defaults, carried_summaries, event_json_lines, run_results, chunk_links, model_tiers, first_page_links, page_markdown, page_clean_html, record_schema_errors, author_schema_errors, records_mended, record_end_dates,
 )}
 
 _CACHED = "(SELECT url, arg_max(structural_summary, (updated_at, id)) AS s FROM metadata_cache WHERE json_valid(structural_summary) GROUP BY 1)"
@@ -318,6 +345,13 @@ SELECT host, item_count, item_urls FROM (SELECT host, count(*) AS item_count FRO
     "answer_defaults": _DEFAULTS,
     "carried_summaries": f"""SELECT run_id, id, last_value(line IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried
 FROM (SELECT run_id, id, CASE WHEN description <> '' THEN description || CASE WHEN page_type IN ('home', 'listing', 'detail', 'other') THEN ' | page: ' || page_type ELSE '' END END AS line FROM ({_DEFAULTS}))""",
+    "event_json_lines": f"SELECT run_id, id, CAST(json_object({', '.join(f"'{c}', {c}" for c in LOGGED)}) AS VARCHAR) AS line FROM ({ONCE_SQL})",
+    "run_results": f"""SELECT 'run-' || s.id AS run_id, s.url, e.events, coalesce(r.records, 0) AS records, coalesce(r.valid, 0) AS valid
+FROM sessions s JOIN (SELECT run_id, count(*) AS events FROM ({ONCE_SQL}) GROUP BY 1) e ON e.run_id = 'run-' || s.id
+LEFT JOIN (SELECT run_id, count(*) AS records, count(CASE WHEN len(e) = 0 THEN 1 END) AS valid FROM (SELECT run_id, {_violations_sql()} AS e FROM results) GROUP BY 1) r ON r.run_id = e.run_id""",
+    "chunk_links": f"""SELECT run_id, id, CAST(i AS INTEGER) AS pos, url FROM (SELECT run_id, id, i, coalesce(json_extract_string(l, '$.url'), CASE WHEN json_type(l) = 'VARCHAR' THEN json_extract_string(l, '$') END) AS url
+  FROM (SELECT run_id, id, unnest(x[1:10]) AS l, generate_subscripts(x[1:10], 1) - 1 AS i FROM (SELECT run_id, id, CAST(json_extract(a, '$.navigation_links') AS JSON[]) AS x FROM {_ANSWERS} WHERE json_type(a, '$.navigation_links') = 'ARRAY')))
+WHERE url IS NOT NULL AND NOT coalesce({_non_content('url')}, false)""",
     "model_tiers": f"SELECT task, CASE WHEN task IN ('link_decision', 'model_selection') THEN 'small' WHEN task = 'ontology_embedding' THEN 'embedding' ELSE 'large' END AS tier, count(*) AS calls FROM ({ONCE_SQL}) WHERE type = 'llm_call' GROUP BY 1, 2",
     "first_page_links": f"""SELECT page_id, url, rank FROM (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY pos, url) AS rank
   FROM (SELECT page_id, target AS url, min(pos) AS pos FROM ({LINKS_SQL}) GROUP BY 1, 2)) WHERE rank <= 30""",
