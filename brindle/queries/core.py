@@ -373,7 +373,19 @@ def _non_content(u: str) -> str:
 _FOLLOW = f"SELECT * FROM ({LINKS_SQL}) WHERE NOT {_non_content('target')} AND NOT {_faceted('target', 'url')}"
 _TAILS = ["?sort=date", "?Level=beginner&page=2", "?q=", "?page=3", "/?format=online&format=x&lang=de", "?from=a&other=1", "/deeper?sort=date", "?%73ort=1", ""]
 
+def _chunk_end(start: str, size: int) -> str:
+    """The end of the chunk from `start`: the last paragraph, else the last of the first kind of sentence end, past the middle of its window, else all of it."""
+    window = f"substr(text, {start} + 1, {size})"
+    places = [("\\n\\n", 0), ("\\. ", 2), ("\\.\\n", 2), ("\\? ", 2), ("! ", 2)]
+    found = [(f"length(regexp_extract({window}, '(?s)^(.*){mark}', 1))", more) for mark, more in places]
+    return f"CASE WHEN n - ({start}) <= {size} THEN n " + " ".join(f"WHEN {at} > {size // 2} THEN {start} + {at} + {more}" for at, more in found) + f" ELSE {start} + {size} END"
+
+
 SQL = {
+    "chunk_documents": f"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, 0 AS no, 0 AS a, {_chunk_end('0', 1000)} AS b, n <= 1000 AS last FROM d
+  UNION ALL SELECT doc_id, no + 1, a, {_chunk_end('a', 1000)}, n - a <= 1000 FROM (SELECT c.doc_id, c.no, greatest(c.a + 1, c.b - 100) AS a, d.text, d.n FROM c JOIN d USING (doc_id) WHERE NOT c.last))
+SELECT doc_id, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS of, no AS chunk_no, substr(text, a + 1, b - a) AS chunk FROM c JOIN d USING (doc_id)""",
     "page_content_hash": f"SELECT page_id, sha256({PLAIN_SQL}) AS hash, length({PLAIN_SQL}) AS chars FROM pages WHERE html IS NOT NULL",
     "site_snapshot_hash": f"""WITH b AS (SELECT host, left(sha256(url), 3) AS block, count(*) AS pages, sha256('[' || string_agg('["' || url || '","' || hash || '"]', ',' ORDER BY url, hash) || ']') AS hash,
   max(CASE WHEN {_path('url')} IN ('', '/') THEN hash END) AS root FROM ({FETCHES_SQL}) WHERE nth = 1 AND hash IS NOT NULL GROUP BY 1, 2)

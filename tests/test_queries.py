@@ -51,7 +51,7 @@ def test_entry(spark):
 
 #: Columns of the queries without SQL, and those that tell their rows apart.
 WITHOUT_SQL = {
-    "chunk_documents": ("doc_id of chunk_no chunk", ["doc_id", "chunk_no"]), "crawl_order": ("start url place", ["start", "place"]), "p1_found": ("record_id field pos value", ["record_id", "field", "pos"]),
+    "crawl_order": ("start url place", ["start", "place"]), "p1_found": ("record_id field pos value", ["record_id", "field", "pos"]),
     "p4_found": ("origin file_seq field change new_field", ["origin", "file_seq", "field", "change"]), "p4_table": ("id origin file_seq url field type value", ["id", "field"]),
     "page_markdown": ("page_id markdown hash links", ["page_id"]), "page_clean_html": ("page_id html links", ["page_id"]),
 }
